@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import OP5_SQL, op5_decontamination
 from .near_dups import op10_simhash_near_dedup
 from .packing import op1_packing
 from .sharding import op9_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op9_sharding, op10_simhash_near_dedup)
+    f.__name__: f for f in (op1_packing, op5_decontamination, op9_sharding, op10_simhash_near_dedup)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_decontamination": OP5_SQL}
