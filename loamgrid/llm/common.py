@@ -75,3 +75,18 @@ def bucket_ranks(
         .withColumn(rank, F.col("_below") + F.row_number().over(inner) - 1)
         .drop("_below")
     )
+
+
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, rows: int, id_col: str = "doc_id", label_cols: Sequence[str] = ("quality",)
+) -> DataFrame:
+    """Rows of `docs` with their labels for at most `rows` labelled ids.
+
+    The ids are the first by a hash, so the choice is the same on every run and
+    the broadcast table has a fixed bound.  Labels with a null id or label are
+    left out; of an id labelled twice the least labels count.
+    """
+    known = labels.select(F.col(id_col).alias("_id"), *[F.col(c).cast("int").alias(f"_y_{c}") for c in label_cols]).dropna()
+    known = known.groupBy("_id").agg(*[F.min(f"_y_{c}").alias(f"_y_{c}") for c in label_cols])
+    chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(rows)
+    return docs.join(F.broadcast(chosen), docs[id_col] == F.col("_id")).drop("_id")

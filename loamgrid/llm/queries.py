@@ -10,10 +10,11 @@ from .decontaminate import OP5_SQL, op5_decontamination
 from .near_dups import op10_simhash_near_dedup
 from .packing import op1_packing
 from .pii import op8_pii
+from .quality_rules import op3_quality_rules
 from .sharding import op9_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op5_decontamination, op8_pii, op9_sharding, op10_simhash_near_dedup)
+    f.__name__: f for f in (op1_packing, op3_quality_rules, op5_decontamination, op8_pii, op9_sharding, op10_simhash_near_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {"op5_decontamination": OP5_SQL}
