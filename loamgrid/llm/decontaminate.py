@@ -16,8 +16,9 @@ SIDE = SPAN - GRAM
 POS_BITS = 28
 #: Most benchmark rows in one broadcast (about 200 bytes each); a larger benchmark is joined in blocks.
 BLOCK_ROWS = 400_000
-#: Words, with A-Z still in them: they are lower-cased word by word.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Words, with A-Z still in them: they are lower-cased word by word.  ASCII letters and digits, and all
+#: beyond ASCII; Java tests these two classes four times as fast as the ranges they stand for.
+WORD = r"[\p{Alnum}[^\p{ASCII}]]+"
 
 
 def words_of(text: Column) -> Column:
