@@ -218,7 +218,7 @@ def learned_on(docs: DataFrame, labels: DataFrame, rows: int = 6000) -> list[Rul
     """Rules for quality = 0 from at most `rows` labelled documents (a bounded sample, by hash)."""
     sample = labelled_sample(docs.select("doc_id", "text"), labels, rows)
     stats = with_stats(sample, ["doc_id", "_y_quality"]).dropDuplicates(["doc_id"]).drop("doc_id")
-    got = np.array([tuple(r) for r in stats.orderBy(*stats.columns).collect()], np.int64).reshape(-1, 10)
+    got = np.array(sorted(tuple(r) for r in stats.collect()), np.int64).reshape(-1, 10)
     return learn_rules(feature_matrix(got[:, 1:]), got[:, 0] == 0) if len(got) else []
 
 

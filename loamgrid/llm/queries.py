@@ -12,9 +12,10 @@ from .packing import op1_packing
 from .pii import op8_pii
 from .quality_rules import op3_quality_rules
 from .sharding import op9_sharding
+from .token_output import op2_token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op3_quality_rules, op5_decontamination, op8_pii, op9_sharding, op10_simhash_near_dedup)
+    f.__name__: f for f in (op1_packing, op2_token_output, op3_quality_rules, op5_decontamination, op8_pii, op9_sharding, op10_simhash_near_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {"op5_decontamination": OP5_SQL}
