@@ -51,39 +51,45 @@ def decode_codes(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out.view("<u2" if wide == 2 else "<u4").reshape(-1).astype(np.uint32)
 
 
-def token_ids(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, tie, ids): each text's ids and `end_id`, as bytes of little-endian integers."""
+def token_ids(docs: DataFrame, tokenizer: str, end_id: int, size: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, tie, ids, counts): each text's ids and `end_id`, as bytes of little-endian integers.
+
+    Each task adds one row that holds its counts of all `size` ids in `counts`,
+    which is null in all other rows.
+    """
     kind = docs.select(id_col).schema[0].dataType.simpleString()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder.shared(tokenizer)
         end = np.array([end_id], encoder.dtype).tobytes()
+        total, names, kinds = np.zeros(size, np.int64), ["id", "tie", "ids", "counts"], None
         for b in batches:
+            kinds = [b.schema.field(0).type, pa.int64(), pa.binary(), pa.binary()]
             for at in range(0, b.num_rows, _DOCS_AT_ONCE):
                 part = b.slice(at, _DOCS_AT_ONCE)
-                texts = [bytes(x.as_buffer()) if x.is_valid else b"" for x in part.column(2)]
-                ids = [x + end for x in encoder.encode_batch(texts)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.binary())], ["id", "tie", "ids"])
+                ids = [(encoder.encode(bytes(x.as_buffer())) if x.is_valid else b"") + end for x in part.column(2)]
+                total += np.bincount(np.frombuffer(b"".join(ids), encoder.dtype), minlength=size)
+                columns = [part.column(0), part.column(1), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names)
+        if kinds:
+            row = [[None], [None], [None], [total.astype("<i8").tobytes()]]
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names)
 
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tie"), text.cast("binary").alias("text"))
-    return rows.mapInArrow(encoded, f"id {kind}, tie long, ids binary")
+    return rows.mapInArrow(encoded, f"id {kind}, tie long, ids binary, counts binary")
 
 
-def _counted(ids: DataFrame, size: int, dtype: str) -> list[tuple[int, int]]:
+def _counted(ids: DataFrame) -> list[tuple[int, int]]:
     """(id, count) over all documents; at most one row per id of the vocabulary."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for x in b.column(0):
-                total += np.bincount(np.frombuffer(x.as_buffer(), dtype), minlength=size) if len(x.as_buffer()) > size else 0
-            short = b"".join(bytes(x.as_buffer()) for x in b.column(0) if len(x.as_buffer()) <= size)
-            total += np.bincount(np.frombuffer(short, dtype), minlength=size)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
-
-    rows = ids.select("ids").mapInArrow(count, "id long, n long")
+            total = np.sum([np.frombuffer(x.as_buffer(), "<i8") for x in b.column(0)], axis=0)
+            seen = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
+
+    rows = ids.filter("counts is not null").select("counts").mapInArrow(opened, "id long, n long")
     return [(r[0], r[1]) for r in rows.groupBy("id").agg(F.sum("n").alias("n")).collect()]
 
 
@@ -106,10 +112,10 @@ def write_tokens(
     encoder = PieceEncoder.shared(tokenizer)
     size, dtype = max(encoder.size, end_id + 1), encoder.dtype.str
     at = f"{shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
-    raw = token_ids(docs, tokenizer, end_id, id_col, text_col)
+    raw = token_ids(docs, tokenizer, end_id, size, id_col, text_col)
     raw.write.option("compression", "zstd").parquet(at)
     ids = spark.read.schema(raw.schema).parquet(at)
-    counts = sorted(_counted(ids, size, dtype), key=lambda r: (-r[1], r[0]))
+    counts = sorted(_counted(ids), key=lambda r: (-r[1], r[0]))
     order = np.array([r[0] for r in counts], np.int64)
     rank_of = np.zeros(size, np.uint32)
     rank_of[order] = np.arange(len(order), dtype=np.uint32)
@@ -142,7 +148,7 @@ def write_tokens(
         if names:
             yield out()
 
-    placed = ids.repartitionByRange(files, "id", "tie").sortWithinPartitions("id", "tie").select("id", "ids")
+    placed = ids.filter("counts is null").repartitionByRange(files, "id", "tie").sortWithinPartitions("id", "tie").select("id", "ids")
     schema = f"part int, block int, doc_ids array<{kind}>, lengths array<long>, control binary, data binary"
     placed.mapInArrow(blocks, schema).write.option("compression", "zstd").parquet(f"{path}/blocks")
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)

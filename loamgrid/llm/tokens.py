@@ -4,32 +4,35 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import sys
 import types
 
 import numpy as np
 
 #: Letters of Latin-1 and at most one run of marks after them: one or two pre-tokens, known without the tokenizer.
-_SIMPLE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+([.,;:!?]*)\Z").match
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)\Z").match
+#: Entries of the dictionary for pieces that no longer fit into the lasting one.
+_RECENT = 100_000
 
 
-class _Pieces(dict):
-    """Ids by piece; `more` has those of the batch at hand that didn't fit."""
-
-    more: dict[bytes, bytes] = {}
-
-    def __missing__(self, piece: bytes) -> bytes:
-        return self.more[piece]
+def _byte_letters() -> dict[int, str]:
+    """Byte-level BPE's letter for each byte: printable Latin-1 stands for itself, the rest follows from U+0100."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
 class PieceEncoder:
     """Encodes UTF-8 texts to ids exactly as the tokenizer itself does.
 
     Holds for tokenizers that drop white space and never join across it, as
-    `word_bpe_49k.json` does (NFC, lower case, words and marks apart; its added
-    tokens hold no white space).  Ids of pieces are kept in a dictionary of at
-    most `limit` entries that lives as long as the worker process; what does
-    not fit is kept for one batch.  Tests compare it with whole-text encoding.
+    `word_bpe_49k.json` does (NFC, lower case, words and marks apart, byte
+    letters; its added tokens hold no white space).  Ids of pieces are kept in a
+    dictionary of at most `limit` entries that lives as long as the worker
+    process.  A new piece of plain letters goes straight to the BPE model, any
+    other through the whole tokenizer.  Tests compare it with whole-text
+    encoding.
     """
 
     def __init__(self, path: str, limit: int = 1_000_000) -> None:
@@ -37,12 +40,12 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        vocabulary = self.tokenizer.get_vocab()
-        self.size = max(vocabulary.values()) + 1
-        self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.ends = np.zeros(self.size, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.known = _Pieces()
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.size = max(self.tokenizer.get_vocab().values()) + 1
+        self.code = "H" if self.size <= 1 << 16 else "I"
+        self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
+        self.known: dict[bytes, bytes] = {}
+        self.recent: dict[bytes, bytes] = {}
 
     @classmethod
     def shared(cls, path: str) -> PieceEncoder:
@@ -52,37 +55,37 @@ class PieceEncoder:
             setattr(kept, path, cls(path))
         return vars(kept)[path]
 
-    def _learn(self, pieces: list[bytes], into: dict[bytes, bytes]) -> None:
-        simple, tokens, rest = [], [], []
-        for p in pieces:
-            m = _SIMPLE(p.decode("utf-8", "replace"))
-            if m:
-                simple.append(p)
-                tokens.append(2 if m[1] else 1)
-            else:
-                rest.append(p)
-        if simple:  # as one text: the end-of-word ids tell where its words end
-            joined = b" ".join(simple).decode()
-            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.dtype)
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == sum(tokens):
-                raw, at = ids.tobytes(), 0
-                for p, stop in zip(simple, (stops[np.cumsum(tokens) - 1] * ids.itemsize).tolist(), strict=True):
-                    into[p] = raw[at:stop]
-                    at = stop
-            else:
-                rest = pieces
-        found = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in rest], add_special_tokens=False)
-        for p, e in zip(rest, found, strict=True):
-            into[p] = np.array(e.ids, self.dtype).tobytes()
-
-    def encode_batch(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text, as the bytes of little-endian integers of `dtype`."""
-        known = self.known
-        split = [t.split() for t in texts]
-        new = list(set().union(*split) - known.keys())
-        known.more = {}
-        if new:
-            self._learn(new, known if len(known) + len(new) <= self.limit else known.more)
-        get = known.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in split]
+    def _new(self, piece: bytes) -> bytes:
+        found = self.known.get(piece) or self.recent.get(piece)  # met before in the same text, or lately
+        if found is not None:
+            return found
+        text = piece.decode("utf-8", "replace")
+        simple = _SIMPLE(text)
+        if simple:
+            word, marks = simple.groups()
+            word = word.lower()
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(self.letters)
+            ids = [t.id for t in self.model.tokenize(word)]
+            if marks:
+                ids += [t.id for t in self.model.tokenize(marks)]
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        found = struct.pack(f"<{len(ids)}{self.code}", *ids)
+        if len(self.known) < self.limit:
+            self.known[piece] = found
+        else:
+            if len(self.recent) >= _RECENT:
+                self.recent.clear()
+            self.recent[piece] = found
+        return found
+
+    def encode(self, text: bytes) -> bytes:
+        """Ids of a text, as the bytes of little-endian integers of `dtype`."""
+        pieces = text.split()
+        ids = list(map(self.known.get, pieces))
+        if None in ids:
+            for i, x in enumerate(ids):
+                if x is None:
+                    ids[i] = self._new(pieces[i])
+        return b"".join(ids)
