@@ -125,6 +125,7 @@ def write_tokens(
     files = max(1, -(-sum(r[1] for r in counts) // FILE_IDS))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        PieceEncoder.release()  # its memory is of more use to this stage
         part, block = TaskContext.get().partitionId(), 0
         names, texts, n = [], [], 0
 

@@ -35,7 +35,7 @@ class PieceEncoder:
     encoding.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000) -> None:
+    def __init__(self, path: str, limit: int = 400_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -55,6 +55,11 @@ class PieceEncoder:
             setattr(kept, path, cls(path))
         return vars(kept)[path]
 
+    @staticmethod
+    def release() -> None:
+        """Drop the encoders of this worker process."""
+        sys.modules.pop("_loamgrid_encoders", None)
+
     def _new(self, piece: bytes) -> bytes:
         found = self.known.get(piece) or self.recent.get(piece)  # met before in the same text, or lately
         if found is not None:
