@@ -106,7 +106,7 @@ def align(template: np.ndarray, ids: np.ndarray, diagonal: int) -> tuple[int, in
                 here = max(here, (s - 1, k, a), key=lambda x: x[0])
             row.append(here)
         best = row
-    b = max(range(width), key=lambda x: (best[x][0], -x))
+    b = max(range(width), key=lambda x: (best[x][0], -abs(x - BAND)))  # of equals, the one on the diagonal
     stop = max(0, min(len(ids), low + len(template) + b))
     return best[b][1], best[b][2], stop
 
@@ -130,8 +130,6 @@ def scan(text: str, index: Index) -> list[tuple[str, float, int, int]]:
         return []
     found = []
     for t, d in sorted(seen):
-        if (t, d - 1) in seen and (t, d - 2) in seen:
-            continue  # inside the band of a neighbour
         matched, start, stop = align(index.templates[t], ids, d)
         coverage = matched / len(index.templates[t])
         if coverage >= COVERAGE and stop > start:

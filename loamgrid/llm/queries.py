@@ -19,7 +19,18 @@ from .url_reputation import OP4_SQL, op4_url_reputation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_packing, op2_token_output, op3_quality_rules, op4_url_reputation, op5_decontamination, op6_toxicity, op7_license_scan, op8_pii, op9_sharding, op10_simhash_near_dedup)
+    for f in (
+        op1_packing,
+        op2_token_output,
+        op3_quality_rules,
+        op4_url_reputation,
+        op5_decontamination,
+        op6_toxicity,
+        op7_license_scan,
+        op8_pii,
+        op9_sharding,
+        op10_simhash_near_dedup,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_url_reputation": OP4_SQL, "op5_decontamination": OP5_SQL}
