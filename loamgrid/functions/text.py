@@ -63,11 +63,13 @@ def normalize_word(word: Column) -> Column:
 
 def ngrams(tokens: Column, longest: int, shortest: int = 1) -> Column:
     """All n-grams of `shortest` to `longest` tokens, as arrays; shorter ones first."""
-    grams = []
-    for n in range(shortest, longest + 1):
-        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(F.array().cast("array<int>"))
-        grams.append(F.transform(starts, lambda i, n=n: F.slice(tokens, i, n)))
-    return F.flatten(F.array(*grams))
+
+    def of(n: int) -> Column:
+        none = F.array().cast("array<int>")
+        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(none)
+        return F.transform(starts, lambda i: F.slice(tokens, i, n))
+
+    return F.flatten(F.array(*[of(n) for n in range(shortest, longest + 1)]))
 
 
 def without_link_grams(grams: Column) -> Column:

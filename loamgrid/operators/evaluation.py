@@ -116,7 +116,9 @@ def zipf(predicted: DataFrame, cell: str = "cell") -> DataFrame:
 
 def evaluation_subset(rows: DataFrame, order: Sequence[str], skip: int = 0, every: int = 1, limit: int | None = None) -> DataFrame:
     """Skip rows, then keep each `every`-th and `limit` of them in all; a sampling operator over an ordered set of tests."""
-    numbered = rows.withColumn("_n", F.row_number().over(Window.orderBy(*order)) - 1 - skip)
+    from .rows import with_positions
+
+    numbered = with_positions(rows, order).withColumn("_n", F.col("position") - skip).drop("position")
     kept = numbered.filter((F.col("_n") >= 0) & (F.col("_n") % every == 0))
     if limit is not None:
         kept = kept.filter(F.col("_n") < limit * every)

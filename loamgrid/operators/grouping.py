@@ -86,12 +86,17 @@ def merge_events(events: DataFrame, key: Column, location: str = "centroid") ->
         ]
     out = rows.groupBy("key").agg(*aggs)
     if "lat" in has:
-        at = F.create_map().cast("map<bigint,struct<lat:double,lon:double>>")
-        positions = F.aggregate(
-            "_spots", at, lambda m, s: F.map_concat(F.map_filter(m, lambda k, v: k != s["ts"]), F.create_map(s["ts"], F.struct(s["lat"].cast("double").alias("lat"), s["lon"].cast("double").alias("lon"))))
-        )
-        out = out.withColumn("positions", positions)
-        mean = {c: F.aggregate(F.map_values("positions"), F.lit(0.0), lambda a, p, c=c: a + p[c], lambda a: a / F.greatest(F.size("positions"), F.lit(1))) for c in ("lat", "lon")}
+        spots = F.filter(
+            "_spots", lambda s, i: (i + 1 == F.size("_spots")) | (F.get("_spots", i + 1)["ts"] != s["ts"])
+        )  # the last of each time
+        place = lambda s: F.struct(s["ts"], F.struct(s["lat"].cast("double").alias("lat"), s["lon"].cast("double").alias("lon")))
+        out = out.withColumn("positions", F.map_from_entries(F.transform(spots, place)))
+
+        def centre(c: str) -> Column:
+            n = F.greatest(F.size("positions"), F.lit(1))
+            return F.aggregate(F.map_values("positions"), F.lit(0.0), lambda a, p: a + p[c], lambda a: a / n)
+
+        mean = {c: centre(c) for c in ("lat", "lon")}
         some = F.size("positions") > 0
         for c in ("lat", "lon"):
             out = out.withColumn(c, F.when(some, mean[c]) if location == "centroid" else F.col(f"_first.{c}"))
@@ -230,10 +235,10 @@ def quantile_times(rows: DataFrame, at: str = "ts", parts: int = 100) -> DataFra
 
 
 def equal_bins(rows: DataFrame, value: str, order: Sequence[str], bins: int = 20) -> DataFrame:
-    """Bins that start at rank n * i // bins (not ntile, which puts the remainder first): (bin, n, low, high, mean).
+    """Bins that start at rank n * i // bins (not ntile, which puts the remainder first): (bin, n, low, high, mean)."""
+    from .rows import with_positions
 
-    Ranks come from counts of distinct values, so equal values are not gathered.
-    """
-    ranked = rows.withColumns({"_r": F.row_number().over(Window.orderBy(value, *order)) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy())})
-    number = F.floor(((F.col("_r") + 1) * bins - 1) / F.col("_n")).cast("int")
+    whole = rows.agg(F.count(F.lit(1)).alias("_n"))  # one row
+    ranked = with_positions(rows.select(value, *order), [value, *order]).join(F.broadcast(whole))
+    number = F.floor(((F.col("position") + 1) * bins - 1) / F.col("_n")).cast("int")
     return ranked.groupBy(number.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), F.avg(value).alias("mean"))

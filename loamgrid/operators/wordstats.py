@@ -39,7 +39,7 @@ def pivoted(grams: DataFrame, side: str, sides: Sequence[str]) -> DataFrame:
 
 
 def compare_two(grams: DataFrame, side: str = "side", sides: tuple[str, str] = ("before", "after"), min_prob: float = 0.0) -> DataFrame:
-    """(gram, counts, p, q, change, g2) of words whose share reaches `min_prob` on one side."""
+    """(gram, counts, p, q, change, g2) of words of either side whose share reaches `min_prob` on one."""
     x, y = sides
     wide = pivoted(grams, side, sides)
     a, b, ta, tb = (F.col(f"{n}_{s}") for n in ("c", "t") for s in (x, y))
@@ -48,7 +48,7 @@ def compare_two(grams: DataFrame, side: str = "side", sides: tuple[str, str] = (
         "gram", a.alias(f"n_{x}"), b.alias(f"n_{y}"), p.alias("p"), q.alias("q"), (q - p).alias("change"),
         dunning_2x1(a, b, ta - a, tb - b).alias("g2"), dunning_2x2(a, b, ta - a, tb - b).alias("g2_table"),
     )
-    return out.filter((F.col("p") >= min_prob) | (F.col("q") >= min_prob))
+    return out.filter((F.greatest("p", "q") > 0) & (F.greatest("p", "q") >= min_prob))
 
 
 def comparison_report(compared: DataFrame, most: int = 200) -> DataFrame:

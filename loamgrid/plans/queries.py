@@ -17,7 +17,7 @@ from ..sources import sinks, textdb
 from ..streaming import events as streams
 from . import sql
 from .geolocate import Corpus, geolocate, item_grams, items, score_items
-from .shared import cell_name, cell_sql, placed, placed_sql, scratch, table, written
+from .shared import cell_name, cell_sql, millis, placed, placed_sql, scratch, table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -329,20 +329,20 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events in the shape of messages."""
     e = placed(table(spark, sf_dir, "events"), "event_id")
     return e.select(
-        F.col("event_id").alias("id"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user"), F.unix_millis("ts").alias("ts"),
+        F.col("event_id").alias("id"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user"), millis("ts").alias("ts"),
         F.col("event_type").alias("lang"), F.floor("value").cast("int").alias("followers"), F.lit(1).alias("numtweets"), "lat", "lon",
         F.array("event_type", F.concat(F.lit("k"), F.get_json_object("props", "$.k"))).alias("tokens"),
     )
 
 
 _EVENTS = f"""e AS (
-  SELECT event_id AS id, concat('u', user_id) AS "user", epoch_ms(ts) AS ts, event_type AS lang, CAST(floor(value) AS INT) AS followers, 1 AS numtweets, {placed_sql("event_id")},
-    json_extract_string(props, '$.k') AS k, ts AS at FROM events)"""
+  SELECT event_id AS id, concat('u', user_id) AS "user", epoch_us(ts) // 1000 AS ts, event_type AS lang, CAST(floor(value) AS INT) AS followers, 1 AS numtweets, {placed_sql("event_id")},
+    json_extract_string(props, '$.k') AS k, ts AS stamp FROM events)"""
 FILTER = '(click OR (view AND NOT k5)) AND TIME WITHIN "20240105/10d12h" AND LOCATION WITHIN (-45, -120, 60, 150)'
 
 
 @query(f"""WITH {_EVENTS} SELECT id, "user", ts FROM e WHERE (lang = 'click' OR (lang = 'view' AND k <> '5'))
-  AND at >= TIMESTAMP '2024-01-05' AND at < TIMESTAMP '2024-01-15 12:00:00' AND lat BETWEEN -45 AND 60 AND lon BETWEEN -120 AND 150""")
+  AND stamp >= TIMESTAMP '2024-01-05' AND stamp < TIMESTAMP '2024-01-15 12:00:00' AND lat BETWEEN -45 AND 60 AND lon BETWEEN -120 AND 150""")
 def filtered_events(spark, sf_dir):
     """The filter language over all events."""
     e = _events(spark, sf_dir)
@@ -365,8 +365,8 @@ def events_by_user(spark, sf_dir):
 
 
 @query(f"""WITH {_EVENTS}, s AS (SELECT *, ts // 21600000 * 21600000 AS key, (lang = 'purchase') AS hit FROM e),
-g AS (SELECT key, {_MERGED}, bool_or(hit) AS matches, arg_min("user", ts * 1000000000 + id) AS "user",
-  arg_min(lat, ts * 1000000000 + id) AS lat, arg_min(lon, ts * 1000000000 + id) AS lon FROM s GROUP BY key)
+g AS (SELECT key, {_MERGED}, bool_or(hit) AS matches, arg_min("user", (ts, id)) AS "user",
+  arg_min(lat, (ts, id)) AS lat, arg_min(lon, (ts, id)) AS lon FROM s GROUP BY key)
 SELECT CAST(key AS VARCHAR) AS key, id, "user", min_ts, max_ts, n_records, lang, followers, numtweets, round(lat, 6) AS lat, round(lon, 6) AS lon FROM g WHERE matches""")
 def events_by_slice(spark, sf_dir):
     """Six-hour slices that hold a purchase, each merged into one record at its earliest position."""
@@ -390,17 +390,17 @@ def first_events(spark, sf_dir):
     return grouping.first_of(_events(spark, sf_dir), ["user", "lang"], ["ts", "id"]).select("user", "lang", "id", "ts")
 
 
-_HOUR = "concat(strftime(at, '%H'), CASE WHEN hour(at) < 12 THEN 'AM' ELSE 'PM' END)"
-_DAY = "concat('weekday ', dayofweek(at) + 1, strftime(at, ' (%a)'))"
-_MONTH = "strftime(at, 'month %m (%b)')"
-_WEEK = "concat('week ', (day(at) + dayofweek(date_trunc('month', at)) - 1) // 7 + 1)"
+_HOUR = "concat(strftime(stamp, '%H'), CASE WHEN hour(stamp) < 12 THEN 'AM' ELSE 'PM' END)"
+_DAY = "concat('weekday ', dayofweek(stamp) + 1, strftime(stamp, ' (%a)'))"
+_MONTH = "strftime(stamp, 'month %m (%b)')"
+_WEEK = "concat('week ', (day(stamp) + dayofweek(date_trunc('month', stamp)) - 1) // 7 + 1)"
 _CALENDAR = {
-    "year": "strftime(at, '%Y')",
-    "year/month": "strftime(at, '%Y-%m (%b)')",
-    "year/month/day": "strftime(at, '%Y-%m-%d (%b %-d)')",
+    "year": "strftime(stamp, '%Y')",
+    "year/month": "strftime(stamp, '%Y-%m (%b)')",
+    "year/month/day": "strftime(stamp, '%Y-%m-%d (%b %-d)')",
     "month": _MONTH,
     "month/week": f"concat({_MONTH}, ', ', {_WEEK})",
-    "month/day": "strftime(at, '%m-%d (%b %-d)')",
+    "month/day": "strftime(stamp, '%m-%d (%b %-d)')",
     "weekday": _DAY,
     "hour": _HOUR,
     "weekday/hour": f"concat({_DAY}, ', ', {_HOUR})",
@@ -408,11 +408,11 @@ _CALENDAR = {
     "weekday/month": f"concat({_DAY}, ', ', {_MONTH})",
     "month/weekday": f"concat({_MONTH}, ', ', {_DAY})",
 }
-_CALENDAR_ROWS = " UNION ALL ".join(f"SELECT '{k}' AS type, {v} AS value, at FROM o" for k, v in _CALENDAR.items())
+_CALENDAR_ROWS = " UNION ALL ".join(f"SELECT '{k}' AS type, {v} AS value, stamp FROM o" for k, v in _CALENDAR.items())
 
 
-@query(f"""WITH o AS (SELECT o_orderdate AS at FROM orders), v AS ({_CALENDAR_ROWS})
-SELECT type, value, count(*) AS n, min(at) AS first_at, max(at) AS last_at FROM v GROUP BY type, value""")
+@query(f"""WITH o AS (SELECT o_orderdate AS stamp FROM orders), v AS ({_CALENDAR_ROWS})
+SELECT type, value, count(*) AS n, min(stamp) AS first_at, max(stamp) AS last_at FROM v GROUP BY type, value""")
 def calendar_counts(spark, sf_dir):
     """Orders by twelve calendar groupings.  The dates are counted first: each is formatted once, however many rows share it."""
     days = table(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").alias("at")).agg(F.count(F.lit(1)).alias("n"))
@@ -420,7 +420,7 @@ def calendar_counts(spark, sf_dir):
     return flat.groupBy("v.type", "v.value").agg(F.sum("n").alias("n"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
 
 
-_PROPERTIES = " UNION ALL ".join(f"SELECT '{c}' AS type, CAST({c} AS VARCHAR) AS value, l_shipdate AS at FROM lineitem" for c in ("l_returnflag", "l_linestatus", "l_linenumber", "l_suppkey"))
+_PROPERTIES = " UNION ALL ".join(f"SELECT '{c}' AS type, CAST({c} AS VARCHAR) AS value, l_shipdate AS stamp FROM lineitem" for c in ("l_returnflag", "l_linestatus", "l_linenumber", "l_suppkey"))
 
 
 @query(f"""WITH v AS (SELECT type, '' AS key2, value, count(*) AS n FROM ({_PROPERTIES}) GROUP BY type, value)
@@ -439,12 +439,12 @@ def order_frequencies(spark, sf_dir):
     return grouping.frequency_of_frequencies(table(spark, sf_dir, "orders"), "o_custkey")
 
 
-@query("""WITH s AS (SELECT epoch_ms(ts) // 1000 AS s, count(*) AS n FROM events GROUP BY 1),
+@query("""WITH s AS (SELECT epoch_us(ts) // 1000000 AS s, count(*) AS n FROM events GROUP BY 1),
 u AS (SELECT s, n, sum(n) OVER (ORDER BY s) AS upto, (SELECT count(*) FROM events) AS t FROM s), p AS (SELECT CAST(unnest(range(1, 101)) AS INT) AS percent)
-SELECT percent, min(s) * 1000 AS at FROM p JOIN u ON upto * 100 >= percent * t GROUP BY percent""")
+SELECT percent, min(s) * 1000 AS "at" FROM p JOIN u ON upto * 100 >= percent * t GROUP BY percent""")
 def event_quantile_times(spark, sf_dir):
     """Time by which each percent of the events has come."""
-    e = table(spark, sf_dir, "events").select(F.unix_millis("ts").alias("ts"))
+    e = table(spark, sf_dir, "events").select(millis("ts").alias("ts"))
     return grouping.quantile_times(e).select("percent", F.col("at").cast("long").alias("at"))
 
 
@@ -482,7 +482,7 @@ def price_bins(spark, sf_dir):
 
 _DUNNING = f"""
 WITH g AS ({sql.grams('conversations', 'role')}),
-w AS (SELECT gram, coalesce(sum(cnt) FILTER (role = 'user'), 0) AS a, coalesce(sum(cnt) FILTER (role = 'assistant'), 0) AS b FROM g GROUP BY gram),
+w AS (SELECT gram, coalesce(sum(cnt) FILTER (role = 'user'), 0) AS a, coalesce(sum(cnt) FILTER (role = 'assistant'), 0) AS b FROM g GROUP BY gram HAVING a + b > 0),
 x AS (SELECT *, (SELECT sum(a) FROM w) AS ta, (SELECT sum(b) FROM w) AS tb FROM w),
 y AS (SELECT *, ta - a AS c, tb - b AS d, ta + tb AS t, a / ta AS p, b / tb AS q FROM x),
 z AS (SELECT gram, a AS n_user, b AS n_assistant, p, q, q - p AS change,
@@ -667,8 +667,17 @@ def short_text_counts(spark, sf_dir):
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    batch = table(spark, sf_dir, "events")
-    return spark.readStream.schema(batch.schema).parquet(f"{sf_dir}/events.parquet")
+    """`events` as a stream; event times get the session's zone, as streams ask for."""
+    source = spark.readStream.schema(table(spark, sf_dir, "events").schema)
+    if textdb.is_folder(spark, f"{sf_dir}/events.parquet"):
+        rows = source.parquet(f"{sf_dir}/events.parquet")
+    else:  # a stream's source is a folder
+        rows = source.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _without_zone(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({f.name: F.col(f.name).cast("timestamp_ntz") for f in rows.schema if f.dataType.typeName() == "timestamp"})
 
 
 @query("SELECT time_bucket(INTERVAL '6 hours', ts) AS slice_start, count(*) AS n, round(sum(value), 4) AS total, min(ts) AS first_at, max(ts) AS last_at FROM events GROUP BY 1")
@@ -677,7 +686,7 @@ def streamed_slices(spark, sf_dir):
     path = scratch(spark, "stream-slices")
     sliced = streams.time_slices(_stream(spark, sf_dir), length="6 hours", delay="40 days")
     streams.run_to_table(sliced, f"{path}/out", f"{path}/state", "complete").awaitTermination()
-    return spark.read.parquet(f"{path}/out").withColumn("total", F.round("total", 4))
+    return _without_zone(spark.read.parquet(f"{path}/out")).withColumn("total", F.round("total", 4))
 
 
 @query("SELECT user_id, event_type FROM events GROUP BY ALL")
@@ -693,6 +702,6 @@ def streamed_distinct(spark, sf_dir):
 def streamed_users(spark, sf_dir):
     path = scratch(spark, "stream-users")
     streams.run_to_table(streams.running_users(_stream(spark, sf_dir)), f"{path}/out", f"{path}/state", "complete").awaitTermination()
-    return spark.read.parquet(f"{path}/out").withColumn("total", F.round("total", 4))
+    return _without_zone(spark.read.parquet(f"{path}/out")).withColumn("total", F.round("total", 4))
 
 

@@ -46,3 +46,8 @@ def cell_name(grid: RegularGrid) -> Column:
 def cell_sql(degrees: int) -> str:
     per = f"(CAST(1 AS DOUBLE) / {degrees})"
     return f"CAST(floor(lat * {per} + 1e-8) AS INT) AS \"row\", CAST(floor(lon * {per} + 1e-8) AS INT) AS col"
+
+
+def millis(at: str) -> Column:
+    """Milliseconds since 1970 of a timestamp without zone, whatever the session's zone."""
+    return F.expr(f"timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', cast({at} AS TIMESTAMP_NTZ))")

@@ -62,6 +62,11 @@ def _fs(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    at, fs = _fs(spark, path)
+    return fs.getFileStatus(at).isDirectory()
+
+
 def list_files(spark: SparkSession, path: str) -> list[str]:
     """Files under a folder, or those whose names begin with the path; sorted."""
     at, fs = _fs(spark, path)
