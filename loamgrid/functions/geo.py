@@ -18,7 +18,8 @@ def distance_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     a, b, c, d = (F.radians(x) for x in (lat1, lon1, lat2, lon2))
     cosine = F.sin(a) * F.sin(c) + F.cos(a) * F.cos(c) * F.cos(d - b)
     km = F.lit(EARTH_KM) * F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))
-    return F.coalesce(km, F.lit(FAR_KM))
+    known = lat1.isNotNull() & lon1.isNotNull() & lat2.isNotNull() & lon2.isNotNull()  # least() passes over nulls
+    return F.when(known, km).otherwise(FAR_KM)
 
 
 def degree_distance(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

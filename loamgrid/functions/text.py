@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LINK = "-LINK-"
 
@@ -190,7 +191,7 @@ def short_title(title: Column) -> Column:
     return F.regexp_extract(title, r"^(.*?)(?:,\s.*|\s*\([^)]*\))?$", 1)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape_entities(text: pd.Series) -> pd.Series:
     """Named and numeric character entities; Spark has no such function."""
     return text.map(html.unescape, na_action="ignore")

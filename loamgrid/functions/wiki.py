@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def html_text(page: Column) -> Column:
@@ -178,23 +179,27 @@ def toponym_data(text: str, reach: int = 10) -> list[tuple[str, str, str]]:
     return out
 
 
-@F.pandas_udf("lat double, lon double")
+def _texts(*names: str) -> T.ArrayType:
+    return T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in names]))
+
+
+@F.pandas_udf(T.StructType([T.StructField("lat", T.DoubleType()), T.StructField("lon", T.DoubleType())]))
 def coordinates(text: pd.Series) -> pd.DataFrame:
     found = [page_coordinate(t) if t else None for t in text]
     return pd.DataFrame([x or (None, None) for x in found], columns=["lat", "lon"], dtype=float)
 
 
-@F.pandas_udf("array<struct<target: string, anchor: string>>")
+@F.pandas_udf(_texts("target", "anchor"))
 def links(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [{"target": a, "anchor": b} for a, b in page_links(t)] if t else [])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def useful_text(text: pd.Series) -> pd.Series:
     return text.map(plain_text, na_action="ignore")
 
 
-@F.pandas_udf("array<struct<anchor: string, target: string, context: string>>")
+@F.pandas_udf(_texts("anchor", "target", "context"))
 def toponyms(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [dict(zip(("anchor", "target", "context"), x, strict=True)) for x in toponym_data(t)] if t else [])
 

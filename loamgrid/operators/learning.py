@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 def log_bin(x: Column, base: float = 2.0) -> Column:
     """Label of a logarithmic bin; zero and negative numbers have their own."""
-    size = F.floor(F.log(F.lit(base), F.when(x != 0, F.abs(x)))).cast("int").cast("string")
+    size = F.floor(F.log(base, F.when(x != 0, F.abs(x)))).cast("int").cast("string")
     return F.when(x == 0, "zero").when(x < 0, F.concat(F.lit("neg"), size)).otherwise(size)
 
 

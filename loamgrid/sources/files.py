@@ -23,11 +23,12 @@ def raw_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 #: Fields of a short message in JSON: fixed values.
-MESSAGE = T.StructType.fromDDL(
+MENTIONS = "array<struct<screen_name:string, indices:array<int>>>"
+MESSAGE = (
     "id_str string, text string, created_at string, "
     "user struct<screen_name:string, followers_count:int, friends_count:int, lang:string, location:string, time_zone:string, utc_offset:string>, "
     "coordinates struct<type:string, coordinates:array<double>>, "
-    "entities struct<user_mentions:array<struct<screen_name:string, indices:array<int>>>, "
+    f"entities struct<user_mentions:{MENTIONS}, "
     "hashtags:array<struct<text:string>>, urls:array<struct<url:string, expanded_url:string>>>, "
     "`delete` struct<status:struct<id_str:string>>, `limit` struct<track:long>"
 )
@@ -46,7 +47,7 @@ def messages(lines: DataFrame) -> DataFrame:
         .when(F.col("j.id_str").isNull() | F.col("j.text").isNull(), "bad")
         .otherwise("ok")
     )
-    mentions = F.coalesce("j.entities.user_mentions", F.array().cast(MESSAGE["entities"].dataType["user_mentions"].dataType))
+    mentions = F.coalesce("j.entities.user_mentions", F.array().cast(MENTIONS))
     before = lambda m: F.substring("j.text", F.greatest(F.lit(1), m["indices"][0] - 2), F.lit(3))
     is_retweet = lambda m: (m["indices"][0] >= 3) & (before(m) == "RT ")
     point = F.col("j.coordinates.coordinates")
