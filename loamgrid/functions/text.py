@@ -16,7 +16,7 @@ LINK = "-LINK-"
 
 def words(text: Column) -> Column:
     """Lower-cased runs of a-z; the plain tokenizer of the query suite."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z]+"), "")
 
 
 def split_keeping(text: Column, pattern: str) -> Column:

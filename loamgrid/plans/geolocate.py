@@ -20,16 +20,16 @@ SMOOTHING = Smoothing("dirichlet", 1000.0)
 class Corpus:
     """Relations of a training corpus: document grams, global probabilities, cell grams, cells.
 
-    The document grams are written once: they feed the global statistics and the
-    cells, and texts are by far the larger input.
+    Each relation is written once: scores use them several times, and texts are
+    by far the larger input.
     """
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", grid: RegularGrid = GRID) -> None:
         rows = docs.withColumn("cell", cell_name(grid))
         grams = gram_counts(rows, [id_col, "cell"], words(F.col("text")))
         self.doc_grams = written(grams, "doc-grams")
-        self.global_stats = global_probs(self.doc_grams, id_col)
-        self.cell_grams = merged(self.doc_grams, ["cell"])
+        self.global_stats = written(global_probs(self.doc_grams, id_col), "global")
+        self.cell_grams = written(merged(self.doc_grams, ["cell"]), "cell-grams")
         self.cells = accumulate(rows, ["cell"], id_col, "n_chars" if "n_chars" in docs.columns else None)
 
 
