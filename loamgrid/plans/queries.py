@@ -357,11 +357,13 @@ _MERGED = """ CASE WHEN min(id) = max(id) THEN min(id) ELSE -1 END AS id, min(ts
 p AS (SELECT "user", ts, arg_max(lat, id) AS lat, arg_max(lon, id) AS lon FROM e GROUP BY "user", ts),
 c AS (SELECT "user", avg(lat) AS lat, avg(lon) AS lon FROM p GROUP BY "user"),
 g AS (SELECT "user", {_MERGED} FROM e GROUP BY "user")
-SELECT g."user" AS key, id, min_ts, max_ts, n_records, lang, followers, numtweets, round(lat, 6) AS lat, round(lon, 6) AS lon FROM g JOIN c USING ("user")""")
+SELECT g."user" AS key, id, min_ts, max_ts, n_records, lang, followers, numtweets, round(lat, 10) AS lat, round(lon, 10) AS lon FROM g JOIN c USING ("user")""")
 def events_by_user(spark, sf_dir):
     """Events of each user merged into one record at the centroid of the user's positions."""
     merged = grouping.merge_events(_events(spark, sf_dir), grouping.group_key("user"))
-    return merged.select("key", "id", "min_ts", "max_ts", "n_records", "lang", "followers", "numtweets", *r6("lat", "lon"))
+    # ten digits: means of two-digit numbers lie halfway between six-digit ones too often
+    place = [F.round(c, 10).alias(c) for c in ("lat", "lon")]
+    return merged.select("key", "id", "min_ts", "max_ts", "n_records", "lang", "followers", "numtweets", *place)
 
 
 @query(f"""WITH {_EVENTS}, s AS (SELECT *, ts // 21600000 * 21600000 AS key, (lang = 'purchase') AS hit FROM e),
