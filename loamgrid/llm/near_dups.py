@@ -20,6 +20,12 @@ PAIRED = 64
 SEED = 42
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _AT_ONCE = 1 << 16
+#: Near duplicates of the pipeline: words in a shingle and least Jaccard similarity of the shingle sets.
+WIDTH, SIMILAR = 5, 0.8
+#: MinHash bands and the hashes in each: one band agrees with probability s ** ROWS at similarity s.
+BANDS, ROWS = 32, 6
+_TIMES = np.random.default_rng(SEED).integers(0, 1 << 31, BANDS * ROWS).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+_PLUS = np.random.default_rng(SEED + 1).integers(0, 1 << 32, BANDS * ROWS).astype(np.uint32)
 
 
 def simhash(text: bytes | None, width: int = 3) -> int:
@@ -153,11 +159,133 @@ def near_duplicates(
     return rows.join(found, "fp").select("id", "fp", "component_id")
 
 
+def _shingles(text: bytes | None, width: int) -> tuple[bytes, np.ndarray]:
+    """128-bit digest of the folded words and the sorted set of 64-bit hashes of their shingles."""
+    words = text.translate(_FOLD).split() if text else []
+    digest = xxhash.xxh3_128_digest(b" ".join(words))
+    if not words:
+        return digest, np.zeros(0, np.uint64)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    width = min(width, len(words))
+    out = np.zeros(len(h) - width + 1, np.uint64)
+    for j in range(width):  # order counts: the sum so far is mixed before each word
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + h[j : j + len(out)]
+    out = (out ^ (out >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return digest, np.unique(out ^ (out >> np.uint64(31)))
+
+
+def _band_keys(shingles: np.ndarray) -> np.ndarray:
+    """BANDS keys, each of ROWS minimal hashes of a shingle set; none for an empty set."""
+    if not len(shingles):
+        return np.zeros(0, np.int64)
+    short = (shingles >> np.uint64(32)).astype(np.uint32)
+    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(short), 2048):
+        part = np.multiply.outer(short[at : at + 2048], _TIMES)
+        part += _PLUS
+        np.minimum(least, part.min(axis=0), out=least)
+    rows = least.reshape(BANDS, ROWS)
+    return np.fromiter((xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)), np.uint64, BANDS).view(np.int64)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """Those of the pairs (a, b) whose shingle sets have a Jaccard similarity of `least` or more."""
+    right = pairs.join(texts.select(F.col("_node").alias("b"), F.col("_text").alias("tb")), "b")
+    both = right.join(texts.select(F.col("_node").alias("a"), F.col("_text").alias("ta")), "a").select("a", "b", "ta", "tb")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                one, two = _shingles(x.as_py(), width)[1], _shingles(y.as_py(), width)[1]
+                n = len(np.intersect1d(one, two, assume_unique=True))
+                good.append(n >= least * (len(one) + len(two) - n))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return write_table(both.mapInArrow(compared, "a binary, b binary"), "jaccard-links")
+
+
+def jaccard_components(nodes: DataFrame, width: int = WIDTH, least: float = SIMILAR) -> DataFrame:
+    """(node, root) for the nodes that a link of Jaccard similarity `least` or more reaches.
+
+    `nodes` has one row per distinct text: `_node`, `_size` (of its shingle
+    set), `_keys` (of its bands) and `_text`.  Texts that share a band key are
+    candidates and every link is verified.  First all members of a key are
+    compared with its least one.  Then, in keys whose members are not in one
+    component yet, all members outside the commonest component are compared with
+    every member of another component.  Pairs left out are in one component
+    already, so no candidate link is lost and a group of near copies costs no
+    square.
+    """
+    keyed = nodes.select("_node", "_size", F.posexplode("_keys").alias("t", "k"))
+    counts = keyed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_node", "_size")).alias("first")).filter("n > 1")
+    counts = write_table(counts, "minhash-keys")
+    shared = write_table(keyed.join(counts, ["t", "k"]), "minhash-shared")
+
+    def pairs(rows: DataFrame) -> DataFrame:
+        """Unordered pairs of (a, na), (b, nb) whose sizes allow the similarity."""
+        close = F.least("na", "nb") >= F.greatest("na", "nb") * least
+        found = rows.filter((F.col("a") != F.col("b")) & close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        return write_table(found.distinct(), "minhash-pairs")
+
+    member = shared.select("_node").distinct()
+    texts = write_table(nodes.select("_node", "_text").join(member, "_node", "left_semi"), "minhash-texts")
+    first = pairs(shared.select(F.col("first._node").alias("a"), F.col("first._size").alias("na"), F.col("_node").alias("b"), F.col("_size").alias("nb")))
+    edges = _verified(first, texts, width, least)
+    tree = write_table(components(edges), "minhash-tree")
+    labelled = shared.join(tree, shared._node == tree.node, "left").select("t", "k", "_node", "_size", F.coalesce("root", "_node").alias("root"))
+    labelled = write_table(labelled, "minhash-labelled")
+    sizes = labelled.groupBy("t", "k", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("t", "k").agg(F.max(F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
+    mixed = write_table(main.filter("roots > 1").select("t", "k", F.col("main.root").alias("main")), "minhash-mixed")
+    every = write_table(labelled.join(mixed, ["t", "k"]), "minhash-mixed")
+    left = every.filter("root != main").select("t", "k", F.col("_node").alias("a"), F.col("_size").alias("na"), F.col("root").alias("ra"))
+    right = every.select("t", "k", F.col("_node").alias("b"), F.col("_size").alias("nb"), F.col("root").alias("rb"))
+    second = pairs(left.join(right, ["t", "k"]).filter("ra != rb")).join(first, ["a", "b"], "left_anti")
+    more = _verified(write_table(second, "minhash-pairs"), texts, width, least)
+    return write_table(components(edges.union(more)), "minhash-tree")
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Keep one row of each component: the least id's; of rows that repeat it, one.  Rows with a null id stay."""
-    found = near_duplicates(docs, id_col, text_col).filter(F.col("id") == F.col("component_id"))
-    first = docs.join(found.select(F.col("id").alias(id_col)).distinct(), id_col, "left_semi")
-    return first.dropDuplicates([id_col]).union(docs.filter(F.col(id_col).isNull()))
+    """Keep one row of each component of near duplicates: the one of the least id.  Rows with a null id stay.
+
+    Two rows are near duplicates if their A-Z-folded words are the same, or if
+    the sets of their WIDTH-word shingles (the whole text, if shorter) have a
+    Jaccard similarity of SIMILAR or more.  op10's fingerprints cannot tell:
+    at that similarity they lie up to 11 bits and more apart.  Candidates come
+    from MinHash bands; a pair of similarity 0.8 shares one with probability
+    0.99994, a closer pair more surely.  Rows are judged by their own text, so
+    different texts under one id stay apart.
+    """
+    names = [*docs.columns, "_row", "_node", "_size", "_keys"]
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.schema]
+    columns = [*[F.col(f"`{c}`") for c in numbered.columns], F.col(text_col).cast("string").cast("binary").alias("_text")]
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nodes, sizes, keys = [], [], []
+            for x in b.column(b.num_columns - 1):
+                node, shingles = _shingles(x.as_py(), WIDTH)
+                nodes.append(node)
+                sizes.append(len(shingles))
+                keys.append(_band_keys(shingles))
+            more = [pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *more], names)
+
+    rows = numbered.select(*columns).mapInArrow(signed, ", ".join([*fields, "_node binary, _size long, _keys array<long>"]))
+    rows = write_table(rows, "minhash")
+    known = rows.filter(F.col(id_col).isNotNull())
+    least = known.groupBy("_node").agg(F.min(F.struct(F.col(id_col).alias("id"), F.col("_row").alias("row"))).alias("first"))
+    least = write_table(least, "minhash-distinct")
+    one = least.select(F.col("first.row").alias("_row"))
+    distinct = known.join(one, "_row", "left_semi").select("_node", "_size", "_keys", F.col(text_col).cast("string").cast("binary").alias("_text"))
+    tree = jaccard_components(distinct)
+    rooted = least.join(tree, least._node == tree.node, "left").select("_node", "first", F.coalesce("root", "_node").alias("root"))
+    rooted = write_table(rooted, "minhash-rooted")
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"))
+    gone = write_table(known.select("_row").join(kept, "_row", "left_anti"), "minhash-gone")
+    return rows.join(gone, "_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
