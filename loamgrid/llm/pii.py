@@ -14,7 +14,8 @@ IP = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"
 DATE = r"(?<![\w.-])(?:\d{4}-\d\d-\d\d|\d\d\.\d\d\.\d{4}|\d\d/\d\d/\d{4})(?!\w|[./-]\d)"
 SSN = r"(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-])"
 PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?\(\d{1,4}\) ?\d{2,4}[ .-]?\d{2,4}(?:[ .-]\d{2,4})?|\+\d{1,3}(?:[ .-]\d{2,9}){1,4}|\+\d{8,15}|(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4})(?!\w)"
-CARD = r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?!\w|-\d)"
+#: A run of 13 to 19 digits; a blank in it is not followed by another kind of value.
+CARD = rf"(?<![\w.-])\d(?: (?!{IP}|{DATE}|{SSN}|{PHONE})\d|-?\d){{12,18}}(?!\w|-\d)"
 ANY = "|".join((EMAIL, IBAN, IP, DATE, SSN, PHONE, CARD))
 #: A text with neither of these holds no value.
 HINT = "[0-9@]"
@@ -90,12 +91,34 @@ def _laid_out(form: Column, digits: Column) -> Column:
 
 
 def _card(m: Column, key: str) -> Column:
-    def new(d: Column) -> Column:
+    """The run itself, if it holds; else the first part of whole groups that does, longest first; the rest stays."""
+
+    def valid(d: Column) -> Column:
+        return F.length(d).between(13, 19) & (_luhn(d) % 10 == 0)
+
+    def separator(at: Column) -> Column:
+        return F.substring(m, at, F.lit(1)).isin(" ", "-")
+
+    def part(s: Column) -> Column:
+        return F.substring(m, s["a"], s["b"] - s["a"] + 1)
+
+    def new(form: Column, d: Column) -> Column:
         inner = F.concat(F.substring(d, 1, 1), _permuted(F.substring(d, F.lit(2), F.length(d) - 2), "card", key))
         checked = _bound(inner, lambda x: F.concat(x, F.pmod(10 - F.pmod(_luhn(F.concat(x, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")))
-        return F.when(_luhn(d) % 10 == 0, _bound(checked, lambda x: _laid_out(m, x))).otherwise(m)
-
-    return _bound(_digits(m), new)
+        return _bound(checked, lambda x: _laid_out(form, x))
+
+    def replaced(s: Column) -> Column:
+        changed = _bound(part(s), lambda form: _bound(_digits(form), lambda d: new(form, d)))
+        return F.concat(F.substring(m, F.lit(1), s["a"] - 1), changed, F.substring(m, s["b"] + 1, F.length(m)))
+
+    n = F.length(m)
+    places = F.sequence(F.lit(1), n)
+    starts = F.filter(places, lambda a: (a == 1) | separator(a - 1))
+    stops = F.reverse(F.filter(places, lambda b: (b == n) | separator(b + 1)))
+    spans = F.flatten(F.transform(starts, lambda a: F.transform(F.filter(stops, lambda b: b - a >= 12), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    whole = F.struct(F.lit(1).alias("a"), n.alias("b"))
+    found = F.when(valid(_digits(m)), whole).otherwise(F.get(F.filter(spans, lambda s: valid(_digits(part(s)))), F.lit(0)))
+    return _bound(found, lambda s: F.when(s.isNull(), m).otherwise(replaced(s)))
 
 
 def _phone(m: Column, key: str) -> Column:
