@@ -9,7 +9,22 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 EMAIL = r"(?<![\w.%+-])[\w.%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-IBAN = r"(?<!\w)[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?!\w)"
+#: Characters of an IBAN by country: in print, in groups of four, only the length tells where it ends.
+IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _printed(n: int, countries: str) -> str:
+    last = f" [A-Z0-9]{{{n % 4}}}" if n % 4 else ""
+    return rf"(?:{countries.replace(' ', '|')})\d\d(?: [A-Z0-9]{{4}}){{{n // 4 - 1}}}{last}"
+
+
+PRINTED_IBAN = "|".join(_printed(n, c) for n, c in IBAN_COUNTRIES.items())
+IBAN = rf"(?<!\w)(?=[A-Z]{{2}}\d\d)(?:[A-Z]{{2}}\d{{2}}[A-Z0-9]{{11,30}}|{PRINTED_IBAN})(?!\w)"
 IP = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"
 DATE = r"(?<![\w.-])(?:\d{4}-\d\d-\d\d|\d\d\.\d\d\.\d{4}|\d\d/\d\d/\d{4})(?!\w|[./-]\d)"
 SSN = r"(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-])"
@@ -171,7 +186,9 @@ def _ssn(m: Column, key: str) -> Column:
     return _bound(F.split(m, "-"), new)
 
 
-def _date(m: Column, key: str) -> Column:
+def _date(m: Column, key: str, day_first: Column) -> Column:
+    """With slashes, the order that `day_first` says; the other one if that gives no date."""
+
     def formed(pattern: str) -> Column:
         def new(days: Column) -> Column:
             good = days.between(0, DAYS * DAYS - 1)
@@ -180,9 +197,11 @@ def _date(m: Column, key: str) -> Column:
 
         return _bound(F.datediff(F.try_to_date(m, pattern), F.lit(EPOCH).cast("date")), new)
 
+    days, months = "dd/MM/yyyy", "MM/dd/yyyy"
+    by_day = (day_first & F.try_to_date(m, days).isNotNull()) | F.try_to_date(m, months).isNull()
     return (
         F.when(m.contains("-"), formed("yyyy-MM-dd"))
-        .when(m.contains("/"), formed("MM/dd/yyyy"))
+        .when(m.contains("/"), F.when(by_day, formed(days)).otherwise(formed(months)))
         .otherwise(formed("dd.MM.yyyy"))
     )
 
@@ -198,17 +217,28 @@ def _mod97(text: Column) -> Column:
 
 
 def _iban(m: Column, key: str) -> Column:
-    """Digits at the end of the account are permuted (17 at most) and the check digits made anew."""
-    country, rest = F.substring(m, 1, 2), F.substring(m, F.lit(5), F.length(m))
-    good = _mod97(F.concat(rest, F.substring(m, 1, 4))) == 1
-    tail = F.regexp_extract(m, r"(\d{1,17})$", 1)
-    moved = _bound(tail, lambda d: F.concat(F.substring(m, F.lit(5), F.length(m) - 4 - F.length(d)), _permuted(d, "iban", key)))
+    """Digits at the end of the account are permuted (17 at most) and the check digits made anew; groups of four stay.
 
-    def checked(x: Column) -> Column:
-        check = 98 - _mod97(F.concat(x, country, F.lit("00")))
-        return F.concat(country, F.lpad(check.cast("string"), 2, "0"), x)
+    A printed form that fails may still hold a card after its first group.
+    """
+    grouped = m.contains(" ")
+
+    def new(compact: Column) -> Column:
+        country, rest = F.substring(compact, 1, 2), F.substring(compact, F.lit(5), F.length(compact))
+        good = _mod97(F.concat(rest, F.substring(compact, 1, 4))) == 1
+        tail = F.regexp_extract(rest, r"(\d{1,17})$", 1)
+        moved = _bound(tail, lambda d: F.concat(F.substring(compact, F.lit(5), F.length(compact) - 4 - F.length(d)), _permuted(d, "iban", key)))
+
+        def checked(x: Column) -> Column:
+            check = 98 - _mod97(F.concat(x, country, F.lit("00")))
+            made = F.concat(country, F.lpad(check.cast("string"), 2, "0"), x)
+            return F.when(grouped, F.regexp_replace(made, "(.{4})(?=.)", "$1 ")).otherwise(made)
 
-    return F.when(good, _bound(moved, checked)).otherwise(m)
+        after = F.substring(m, F.lit(6), F.length(m))
+        kept = F.when(grouped & after.rlike(f"^(?:{CARD})$"), F.concat(F.substring(m, 1, 5), _card(after, key))).otherwise(m)
+        return F.when(good, _bound(moved, checked)).otherwise(kept)
+
+    return _bound(F.replace(m, F.lit(" "), F.lit("")), new)
 
 
 def _email(m: Column, key: str) -> Column:
@@ -216,20 +246,22 @@ def _email(m: Column, key: str) -> Column:
     return F.concat(F.lit("u"), F.substring(digest, 1, 12), F.lit("@pseudonym.invalid"))
 
 
-def pseudonym(m: Column, key: str) -> Column:
+def pseudonym(m: Column, key: str, day_first: Column) -> Column:
     """The pseudonym of one matched value; the value itself if it isn't valid in its format."""
     return (
         F.when(m.contains("@"), _email(m, key))
         .when(m.rlike(f"^(?:{IBAN})$"), _iban(m, key))
         .when(m.rlike(f"^(?:{IP})$"), _ip(m, key))
-        .when(m.rlike(f"^(?:{DATE})$"), _date(m, key))
+        .when(m.rlike(f"^(?:{DATE})$"), _date(m, key, day_first))
         .when(m.rlike(f"^(?:{SSN})$"), _ssn(m, key))
         .when(m.rlike(f"^(?:{PHONE})$"), _phone(m, key))
         .otherwise(_card(m, key))
     )
 
 
-def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
+def pseudonymize(
+    docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None, lang_col: str = "lang"
+) -> DataFrame:
     """Replace personal values in `text_col` by keyed pseudonyms of their own format.
 
     Card numbers (Luhn), IBANs (mod 97), IPv4 addresses (octets), US social
@@ -240,6 +272,11 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", count_col: s
     becomes a keyed address under `.invalid`.  Numbers that fail validation
     stay as they are.
 
+    An IBAN may be printed in groups of four.  Of 03/04/1990 the month comes
+    first in English and where `lang_col` is null or missing, else the day; a
+    date that only the other order allows is read in that one.  A card may have
+    further groups of digits before or after it within a run of 19.
+
     A null text stays null; texts without digits and @ are untouched; rows,
     order of columns and all other columns stay; `count_col` adds the number of
     values that changed.
@@ -248,8 +285,10 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", count_col: s
     hint = text.rlike(HINT)
     found = F.when(hint, F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
     columns = docs.columns
+    english = F.lower(F.col(lang_col).cast("string")).startswith("en") if lang_col in columns else F.lit(True)
+    day_first = ~F.coalesce(english, F.lit(True))
     out = docs.withColumn("_found", found)
-    out = out.withColumn("_new", F.when(F.size("_found") > 0, F.transform("_found", lambda m: pseudonym(m, key))))
+    out = out.withColumn("_new", F.when(F.size("_found") > 0, F.transform("_found", lambda m: pseudonym(m, key, day_first))))
     joined = F.array_join(
         F.zip_with(F.split(text, ANY, -1), "_new", lambda p, n: F.concat(p, F.coalesce(n, F.lit("")))), ""
     )
@@ -263,5 +302,5 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", count_col: s
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:
     """Every document with its personal values replaced, and how many were."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return pseudonymize(docs, "op8-demo-key", count_col="n_values")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    return pseudonymize(docs, "op8-demo-key", count_col="n_values").drop("lang")
