@@ -11,8 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Short notices by licence; a deployment passes its own, of any length.
-TEMPLATES = {
+from .license_texts import TEXTS
+
+#: One-sentence notices by licence.
+NOTICES = {
     "apache-2.0": ["Licensed under the Apache License, Version 2.0."],
     "mit": ["Released under the MIT License.", "Licensed under the MIT License."],
     "gpl-3.0": ["This work is licensed under the GNU General Public License, version 3."],
@@ -25,6 +27,8 @@ TEMPLATES = {
     "cc-by-nc-4.0": ["Licensed under CC BY-NC 4.0."],
     "proprietary": ["All rights reserved."],
 }
+#: Notices, and the bodies and standard headers; a deployment passes its own, of any length.
+TEMPLATES = {name: [*NOTICES.get(name, []), *TEXTS.get(name, [])] for name in [*NOTICES, *[n for n in TEXTS if n not in NOTICES]]}
 GRAM, WINDOW, BAND = 3, 2, 6
 #: Least share of a template's words that must be matched in order.
 COVERAGE = 0.85
@@ -130,6 +134,10 @@ def scan(text: str, index: Index) -> list[tuple[str, float, int, int]]:
         return []
     found = []
     for t, d in sorted(seen):
+        # No placing can match a template word that the words in reach lack.
+        reach = ids[max(0, d - BAND) : max(0, d + len(index.templates[t]) + BAND)]
+        if np.isin(index.templates[t], reach).sum() / len(index.templates[t]) < COVERAGE:
+            continue
         matched, start, stop = align(index.templates[t], ids, d)
         coverage = matched / len(index.templates[t])
         if coverage >= COVERAGE and stop > start:
