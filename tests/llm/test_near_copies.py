@@ -56,3 +56,9 @@ def test_near_copies_by_jaccard(spark):
     assert got.columns == table.columns
     assert sorted(map(tuple, got.collect()), key=str) == kept_by_brute_force(rows)
     assert near_dups.drop_near_duplicates(table.limit(0)).count() == 0
+
+
+def test_different_texts_under_one_id(spark):
+    rows = [(1, "one text of its own"), (1, "another text that is not alike"), (0, "another text that is not alike"), (1, "one text of its own"), (1, "a third one, quite unlike both")]
+    got = near_dups.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == [rows[2], rows[4], rows[0]]
