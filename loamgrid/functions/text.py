@@ -15,8 +15,8 @@ LINK = "-LINK-"
 
 
 def words(text: Column) -> Column:
-    """Lower-cased runs of a-z; the plain tokenizer of the query suite."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z]+"), "")
+    """Lower-cased runs of letters of any script, with their combining marks; the plain tokenizer of the query suite."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}]+"), "")
 
 
 def split_keeping(text: Column, pattern: str) -> Column:

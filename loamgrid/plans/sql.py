@@ -2,7 +2,7 @@
 
 from .shared import cell_sql, placed_sql
 
-WORDS = "string_split_regex(lower(coalesce(text, '')), '[^a-z]+')"
+WORDS = r"string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{M}]+')"
 
 
 def grams(source: str, keys: str) -> str:
