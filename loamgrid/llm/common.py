@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,13 +13,21 @@ from pyspark.sql.window import Window
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Folders of the tables that write_table made, while their frames live.
+_FOLDERS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share: spark.checkpoint.dir.
+    """This application's folder in spark.checkpoint.dir, which the driver and all executors share.
 
-    Where the session does not name one (tests on one machine), a folder under
-    the warehouse is used.
+    A session that names none is an error, unless driver and executors are one
+    process: a folder of one machine would be missing on the others.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/loamgrid-{spark.sparkContext.applicationId}"
 
 
@@ -30,14 +39,37 @@ def write_table(df: DataFrame, tag: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    _FOLDERS[back] = path
+    return back
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def drop_table(*tables: DataFrame) -> None:
+    """Delete tables of write_table that nothing unwritten reads any more."""
+    for t in tables:
+        if t in _FOLDERS:
+            _delete(t.sparkSession, _FOLDERS.pop(t))
 
 
 def drop_tables(spark: SparkSession) -> None:
     """Delete every table this application wrote in the shared folder."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, shared_dir(spark))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it apart from the columns of `df`."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def lower_az(text: Column) -> Column:

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import write_table
+from .common import drop_table, fresh, write_table
 
 #: Fingerprints are cut into this many blocks; two that differ in at most `distance` bits agree on the others.
 BLOCKS = 4
@@ -23,7 +23,11 @@ _AT_ONCE = 1 << 16
 #: Near duplicates of the pipeline: words in a shingle and least Jaccard similarity of the shingle sets.
 WIDTH, SIMILAR = 5, 0.8
 #: MinHash bands and the hashes in each: one band agrees with probability s ** ROWS at similarity s.
-BANDS, ROWS = 32, 6
+BANDS, ROWS = 24, 5
+#: Parities of a shingle set, in 64-bit words.
+SKETCH = 8
+#: More pairs than this a row in the exact join between components, and one member is compared with all others first.
+DENSE = 1024
 _TIMES = np.random.default_rng(SEED).integers(0, 1 << 31, BANDS * ROWS).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 _PLUS = np.random.default_rng(SEED + 1).integers(0, 1 << 32, BANDS * ROWS).astype(np.uint32)
 
@@ -105,35 +109,42 @@ def links(distinct: DataFrame, distance: int = 2) -> DataFrame:
     sent = sent.select("fp", "t", F.col("fp").bitwiseXOR(F.col("bit")).alias("mid"))
     least = sent.groupBy("t", "mid").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     stars = sent.join(least, ["t", "mid"]).filter("a < fp").select("a", F.col("fp").alias("b"))
-    return write_table(pairs.union(stars).distinct(), "simhash-links")
+    found = write_table(pairs.union(stars).distinct(), "simhash-links")
+    drop_table(counts, shared)
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of `edges` (a, b): root is its component's least node.
 
-    Large-star and small-star rounds on joins and minima; each round is written
-    to the shared folder, so lineage stays short and nothing is collected.
+    Large-star and small-star rounds on joins and minima, until every component
+    is a star around its least node; each round is written to the shared
+    folder, so lineage stays short and nothing is collected.
     """
 
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))"), F.expr("sum(pmod(xxhash64(b, a), 1048573))")).first())
+    def settled(e: DataFrame) -> bool:
+        """No node has two parents, or a parent and a child."""
+        ends = e.select(F.col("b").alias("u"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("a", F.lit(0), F.lit(1)))
+        per = ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        return per.filter("up > 1 or up = 1 and down = 1").isEmpty()
 
     edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
-    before = None
-    while True:
+    edges = write_table(edges, "components")
+    while not settled(edges):
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b"), F.col("a")))
+        # Tables on both sides of a join let adaptive execution split a hot key.
         low = write_table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "components")
         large = both.join(low, "u").filter("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
         large = write_table(large.filter("a < b").distinct(), "components")
+        drop_table(low, edges)
         low = write_table(large.groupBy("b").agg(F.min("a").alias("m")), "components")
         small = large.join(low, "b").select(F.col("m").alias("x"), F.explode(F.array("a", "b")).alias("y"))
         edges = write_table(small.filter("x < y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "components")
-        now = state(edges)
-        if now == before or now[0] == 0:
-            break
-        before = now
+        drop_table(low, large)
     tree = edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
-    return tree.union(edges.select("a", "a")).distinct()
+    tree = write_table(tree.union(edges.select("a", "a")).distinct(), "components")
+    drop_table(edges)
+    return tree
 
 
 def near_duplicates(
@@ -150,12 +161,14 @@ def near_duplicates(
     """
     rows = write_table(fingerprints(docs, id_col, text_col, width), "simhash")
     distinct = write_table(rows.groupBy("fp").agg(F.min("id").alias("first")), "simhash-distinct")
-    tree = write_table(components(links(distinct.select("fp"), distance)), "simhash-tree")
+    edges = links(distinct.select("fp"), distance)
+    tree = components(edges)
     linked = write_table(tree.join(distinct, tree.node == distinct.fp).select("fp", "root", "first"), "simhash-tree")
     least = write_table(linked.groupBy("root").agg(F.min("first").alias("least")), "simhash-tree")
     reached = linked.join(least, "root").select("fp", "least")
     found = distinct.join(reached, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
     found = write_table(found, "simhash-found")
+    drop_table(edges, tree, linked, least, distinct)
     return rows.join(found, "fp").select("id", "fp", "component_id")
 
 
@@ -188,104 +201,217 @@ def _band_keys(shingles: np.ndarray) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)), np.uint64, BANDS).view(np.int64)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
-    """Those of the pairs (a, b) whose shingle sets have a Jaccard similarity of `least` or more."""
-    right = pairs.join(texts.select(F.col("_node").alias("b"), F.col("_text").alias("tb")), "b")
-    both = right.join(texts.select(F.col("_node").alias("a"), F.col("_text").alias("ta")), "a").select("a", "b", "ta", "tb")
+def _signatures(rows: DataFrame) -> DataFrame:
+    """(id, hash, node, size, keys) of rows (id, hash, text): digest of the words, shingles, band keys."""
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(node, len(sh), _band_keys(sh)) for node, sh in (_shingles(x.as_py(), WIDTH) for x in b.column(2))]
+            nodes, sizes, keys = zip(*found, strict=True) if found else ((), (), ())
+            more = [pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], *more], ["id", "hash", "node", "size", "keys"])
+
+    return rows.mapInArrow(signed, f"id {kind}, hash long, node binary, size long, keys array<long>")
+
+
+def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose shingle sets have a Jaccard similarity of SIMILAR or more."""
+    right = pairs.join(texts.select(F.col("n").alias("b"), F.col("text").alias("tb")), "b")
+    both = right.join(texts.select(F.col("n").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, one = None, np.zeros(0, np.uint64)
         for batch in batches:
             good = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                one, two = _shingles(x.as_py(), width)[1], _shingles(y.as_py(), width)[1]
+                x = x.as_py()
+                if x != last:  # rows come sorted by a, or in runs of it
+                    last, one = x, _shingles(x, WIDTH)[1]
+                two = _shingles(y.as_py(), WIDTH)[1]
                 n = len(np.intersect1d(one, two, assume_unique=True))
-                good.append(n >= least * (len(one) + len(two) - n))
+                good.append(n >= SIMILAR * (len(one) + len(two) - n))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return write_table(both.mapInArrow(compared, "a binary, b binary"), "jaccard-links")
+    return write_table(both.mapInArrow(compared, "a long, b long"), "jaccard-links")
+
+
+def _sizes_allow(small: str, large: str) -> Column:
+    return F.col(small) >= F.col(large) * SIMILAR - 1e-9
+
 
+def _parities(shingles: np.ndarray) -> list[int]:
+    """For each of 64 * SKETCH classes of hashes, whether a set has an odd number of it, as bits of signed integers."""
+    odd = np.bincount((shingles % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
-def jaccard_components(nodes: DataFrame, width: int = WIDTH, least: float = SIMILAR) -> DataFrame:
-    """(node, root) for the nodes that a link of Jaccard similarity `least` or more reaches.
 
-    `nodes` has one row per distinct text: `_node`, `_size` (of its shingle
-    set), `_keys` (of its bands) and `_text`.  Texts that share a band key are
-    candidates and every link is verified.  First all members of a key are
-    compared with its least one.  Then, in keys whose members are not in one
-    component yet, all members outside the commonest component are compared with
-    every member of another component.  Pairs left out are in one component
-    already, so no candidate link is lost and a group of near copies costs no
-    square.
+def _prefix_links(sets: DataFrame, tree: DataFrame) -> DataFrame:
+    """`tree` with the links between sets (n, size, sh, odd) of its components: an exact prefix-filter join.
+
+    Shingles are ordered from rare to frequent.  Of two sets with a similarity
+    of SIMILAR or more the smaller has a common shingle among its first
+    size - 2s/(1+s) size + 1, the larger among its first size - s size + 1.  A
+    passage that many texts hold comes last in that order, so it makes
+    candidates only of texts that consist of little else.  Shingles of one text
+    alone make none and only take places.  Sets that differ in d shingles differ
+    in at most d parities, so the join drops pairs that differ in too many.
+    """
+    each = sets.select("n", F.explode("sh").alias("sh"))
+    df = write_table(each.groupBy("sh").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "prefix-df")
+    some = each.join(df, "sh").groupBy("n").agg(F.sort_array(F.collect_list(F.struct("df", "sh"))).alias("some"))  # one text's
+    some = some.join(sets.select("n", "size", "odd"), "n")
+    places = F.col("size") - F.size("some")  # taken by shingles that no other set has
+    long = F.col("size") - F.ceil(F.col("size") * SIMILAR - 1e-9) + 1 - places
+    short = F.col("size") - F.ceil(F.col("size") * (2 * SIMILAR / (1 + SIMILAR)) - 1e-9) + 1 - places
+    first = F.slice("some", 1, F.greatest(long, F.lit(0)).cast("int"))
+    some = some.filter(long > 0).select("n", "size", "odd", short.alias("short"), first.alias("some"))
+    keys = some.select("n", "size", "odd", "short", F.posexplode("some.sh").alias("at", "k"))
+    keys = write_table(keys.select("k", "n", "size", "odd", (F.col("at") < F.col("short")).alias("short")), "prefix-keys")
+    drop_table(df)
+    starred, last = False, False
+    while not last:
+        rooted = keys.join(tree, keys.n == tree.node, "left").select("k", "n", "size", "odd", "short", F.coalesce("root", "n").alias("root"))
+        rooted = write_table(rooted, "prefix-rooted")
+        per = rooted.groupBy("k", "root").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("n", "size")).alias("c"))
+        main = per.groupBy("k").agg(F.max(F.struct("m", "root", "c")).alias("main"), F.count(F.lit(1)).alias("roots"), F.sum("m").alias("m"))
+        main = write_table(main.filter("roots > 1").select("k", "main", "m"), "prefix-main")
+        product, rows = main.agg(F.sum(F.expr("(m - main.m) * m")), F.sum("m")).first()
+        if not product:
+            drop_table(rooted, main)
+            break
+        mixed = rooted.join(main.select("k", "main"), "k")
+        # Where that is much work, one of the largest component is compared with all others first, once: linear.
+        last = starred or product <= DENSE * rows
+        if not last:
+            found = mixed.filter("root != main.root").select(F.col("main.c.n").alias("a"), F.col("main.c.size").alias("na"), F.col("n").alias("b"), F.col("size").alias("nb"))
+            found = found.filter(_sizes_allow("na", "nb") & _sizes_allow("nb", "na"))
+        else:
+            mixed = write_table(mixed.withColumn("main", F.col("main.root")), "prefix-mixed")
+            small = mixed.filter("short").select("k", "main", F.col("n").alias("a"), F.col("size").alias("na"), F.col("root").alias("ra"), F.col("odd").alias("oa"))
+            large = mixed.select("k", F.col("n").alias("b"), F.col("size").alias("nb"), F.col("root").alias("rb"), F.col("odd").alias("ob"))
+            other = sum((F.bit_count(F.col("oa")[i].bitwiseXOR(F.col("ob")[i])) for i in range(SKETCH)), F.lit(0))
+            near = other <= (F.col("na") + F.col("nb")) * ((1 - SIMILAR) / (1 + SIMILAR)) + 1e-9
+            near = near & (F.col("na") <= F.col("nb")) & _sizes_allow("na", "nb")
+
+            def joined(one: DataFrame, two: DataFrame, near: Column = near) -> DataFrame:
+                return one.join(two, (one.k == two.k) & (F.col("ra") != F.col("rb")) & near).select("a", "b")
+
+            found = joined(small.filter("ra != main"), large).union(
+                joined(small.filter("ra = main"), mixed.filter("root != main").select("k", F.col("n").alias("b"), F.col("size").alias("nb"), F.col("root").alias("rb"), F.col("odd").alias("ob")))
+            )
+        found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        found = write_table(found, "prefix-pairs")
+        one, two = sets.select(F.col("n").alias("a"), F.col("sh").alias("sa")), sets.select(F.col("n").alias("b"), F.col("sh").alias("sb"))
+        both = F.size(F.array_intersect("sa", "sb"))
+        alike = both >= SIMILAR * (F.size("sa") + F.size("sb") - both)
+        more = write_table(found.join(two, "b").join(one, "a").filter(alike).select("a", "b"), "prefix-links")
+        starred = True
+        stars = tree.filter("node != root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+        new = components(stars.union(more))
+        drop_table(rooted, main, mixed, found, more, tree)
+        tree = new
+    drop_table(keys)
+    return tree
+
+
+def jaccard_components(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, root) for the nodes that a link of Jaccard similarity SIMILAR or more reaches.
+
+    `nodes` has one row per distinct text: n, size (of its shingle set) and keys
+    (of its bands).  `texts_of` gives (n, text) for rows with a column n.  Texts
+    that share a band key are candidates and every link is verified.  First all
+    members of a key are compared with its least one.  Then the members of keys
+    that hold more than one component go through an exact prefix-filter join
+    between components.  No candidate link is lost, and neither a group of near
+    copies nor a passage that many texts hold costs its square.
     """
-    keyed = nodes.select("_node", "_size", F.posexplode("_keys").alias("t", "k"))
-    counts = keyed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_node", "_size")).alias("first")).filter("n > 1")
-    counts = write_table(counts, "minhash-keys")
-    shared = write_table(keyed.join(counts, ["t", "k"]), "minhash-shared")
-
-    def pairs(rows: DataFrame) -> DataFrame:
-        """Unordered pairs of (a, na), (b, nb) whose sizes allow the similarity."""
-        close = F.least("na", "nb") >= F.greatest("na", "nb") * least
-        found = rows.filter((F.col("a") != F.col("b")) & close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        return write_table(found.distinct(), "minhash-pairs")
-
-    member = shared.select("_node").distinct()
-    texts = write_table(nodes.select("_node", "_text").join(member, "_node", "left_semi"), "minhash-texts")
-    first = pairs(shared.select(F.col("first._node").alias("a"), F.col("first._size").alias("na"), F.col("_node").alias("b"), F.col("_size").alias("nb")))
-    edges = _verified(first, texts, width, least)
-    tree = write_table(components(edges), "minhash-tree")
-    labelled = shared.join(tree, shared._node == tree.node, "left").select("t", "k", "_node", "_size", F.coalesce("root", "_node").alias("root"))
-    labelled = write_table(labelled, "minhash-labelled")
-    sizes = labelled.groupBy("t", "k", "root").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("t", "k").agg(F.max(F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
-    mixed = write_table(main.filter("roots > 1").select("t", "k", F.col("main.root").alias("main")), "minhash-mixed")
-    every = write_table(labelled.join(mixed, ["t", "k"]), "minhash-mixed")
-    left = every.filter("root != main").select("t", "k", F.col("_node").alias("a"), F.col("_size").alias("na"), F.col("root").alias("ra"))
-    right = every.select("t", "k", F.col("_node").alias("b"), F.col("_size").alias("nb"), F.col("root").alias("rb"))
-    second = pairs(left.join(right, ["t", "k"]).filter("ra != rb")).join(first, ["a", "b"], "left_anti")
-    more = _verified(write_table(second, "minhash-pairs"), texts, width, least)
-    return write_table(components(edges.union(more)), "minhash-tree")
+    keyed = nodes.select("n", "size", F.explode("keys").alias("k"))
+    counts = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("n", "size")).alias("first")).filter("m > 1")
+    counts = write_table(counts.select("k", "first"), "minhash-keys")
+    shared = write_table(keyed.join(counts, "k"), "minhash-shared")
+    drop_table(counts)
+    pairs = shared.filter("n != first.n").select(F.col("first.n").alias("a"), F.col("n").alias("b"), F.col("first.size").alias("na"), F.col("size").alias("nb"))
+    pairs = pairs.filter(_sizes_allow("na", "nb") & _sizes_allow("nb", "na")).select("a", "b").distinct()
+    pairs = write_table(pairs, "minhash-pairs")
+    texts = write_table(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct()), "minhash-texts")
+    edges = _similar(pairs, texts)
+    drop_table(pairs, texts)
+    tree = components(edges)
+    drop_table(edges)
+    rooted = shared.select("k", "n").join(tree, shared.n == tree.node, "left").select("k", "n", F.coalesce("root", "n").alias("root"))
+    mixed = rooted.groupBy("k").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("k")
+    left = write_table(shared.join(write_table(mixed, "minhash-mixed"), "k").select("n").distinct(), "minhash-left")
+    drop_table(shared)
+    if left.isEmpty():
+        return tree
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [_shingles(x.as_py(), WIDTH)[1].view(np.int64) for x in b.column(1)]
+            odd = [_parities(x.view(np.uint64)) for x in sets]
+            columns = [b.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["n", "size", "sh", "odd"])
+
+    sets = write_table(texts_of(left).mapInArrow(cut, "n long, size long, sh array<long>, odd array<long>"), "prefix-sets")
+    tree = _prefix_links(sets, tree)
+    drop_table(sets, left)
+    return tree
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Keep one row of each component of near duplicates: the one of the least id.  Rows with a null id stay.
+    """Keep one row of each component of near duplicates: the one of the least id, a null id coming last.
 
     Two rows are near duplicates if their A-Z-folded words are the same, or if
     the sets of their WIDTH-word shingles (the whole text, if shorter) have a
     Jaccard similarity of SIMILAR or more.  op10's fingerprints cannot tell:
     at that similarity they lie up to 11 bits and more apart.  Candidates come
     from MinHash bands; a pair of similarity 0.8 shares one with probability
-    0.99994, a closer pair more surely.  Rows are judged by their own text, so
-    different texts under one id stay apart.
-    """
-    names = [*docs.columns, "_row", "_node", "_size", "_keys"]
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in numbered.schema]
-    columns = [*[F.col(f"`{c}`") for c in numbered.columns], F.col(text_col).cast("string").cast("binary").alias("_text")]
+    0.99993, a closer pair more surely.
 
-    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            nodes, sizes, keys = [], [], []
-            for x in b.column(b.num_columns - 1):
-                node, shingles = _shingles(x.as_py(), WIDTH)
-                nodes.append(node)
-                sizes.append(len(shingles))
-                keys.append(_band_keys(shingles))
-            more = [pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *more], names)
-
-    rows = numbered.select(*columns).mapInArrow(signed, ", ".join([*fields, "_node binary, _size long, _keys array<long>"]))
-    rows = write_table(rows, "minhash")
-    known = rows.filter(F.col(id_col).isNotNull())
-    least = known.groupBy("_node").agg(F.min(F.struct(F.col(id_col).alias("id"), F.col("_row").alias("row"))).alias("first"))
-    least = write_table(least, "minhash-distinct")
-    one = least.select(F.col("first.row").alias("_row"))
-    distinct = known.join(one, "_row", "left_semi").select("_node", "_size", "_keys", F.col(text_col).cast("string").cast("binary").alias("_text"))
-    tree = jaccard_components(distinct)
-    rooted = least.join(tree, least._node == tree.node, "left").select("_node", "first", F.coalesce("root", "_node").alias("root"))
+    Rows are judged by (id, text): different texts under one id stay apart, of
+    rows equal in both one stays (the one of the least hash of all columns).
+    Rows without words are copies of each other.  An empty table gives an empty
+    result; all columns stay as they are.
+    """
+    (key,) = fresh(docs, "_hash")
+    hashed = F.xxhash64(F.col(text_col).cast("string"))
+    text = F.col(text_col).cast("string").cast("binary")
+    rows = docs.select(F.col(id_col).alias("id"), hashed.alias("hash"), text.alias("text"))
+    signed = write_table(_signatures(rows), "minhash")
+    order = F.struct(F.col("id").isNull().alias("unknown"), "id", "hash")
+    nodes = signed.groupBy("node").agg(F.min(order).alias("first"), F.max("size").alias("size"), F.max("keys").alias("keys"))
+    nodes = write_table(nodes.withColumn("n", F.monotonically_increasing_id()), "minhash-nodes")
+    again = signed.groupBy("id", "hash").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("id", "hash")
+    again = write_table(again, "minhash-again")
+    repeats = not again.isEmpty()
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        named = write_table(nodes.select("n", F.col("first.id").alias("i"), F.col("first.hash").alias("h")).join(wanted, "n"), "minhash-wanted")
+        found = rows.join(named, rows.id.eqNullSafe(named.i) & (rows.hash == named.h)).select("n", "text")
+        return found.dropDuplicates(["n"]) if repeats else found  # equal (id, text): any of them
+
+    tree = jaccard_components(nodes.select("n", "size", "keys"), texts_of)
+    rooted = nodes.join(tree, nodes.n == tree.node, "left").select(nodes.node, "first", F.coalesce("root", "n").alias("root"))
     rooted = write_table(rooted, "minhash-rooted")
-    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_row"))
-    gone = write_table(known.select("_row").join(kept, "_row", "left_anti"), "minhash-gone")
-    return rows.join(gone, "_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = write_table(rooted.groupBy("root").agg(F.min("first").alias("kept")), "minhash-kept")
+    judged = write_table(rooted.join(kept, "root").select("node", "kept"), "minhash-judged")
+    other = ~(F.col("id").eqNullSafe(F.col("kept.id")) & (F.col("hash") == F.col("kept.hash")))
+    gone = write_table(signed.join(judged, "node").filter(other).select("id", "hash").distinct(), "minhash-gone")
+    drop_table(tree, rooted, kept, judged, nodes, signed)
+    docs_keyed = docs.withColumn(key, hashed)
+
+    def on(t: DataFrame) -> Column:
+        return docs_keyed[id_col].eqNullSafe(t.id) & (docs_keyed[key] == t.hash)
+
+    left = docs_keyed.join(gone, on(gone), "left_anti")
+    if repeats:
+        once = left.join(again, on(again), "left_anti")
+        more = docs_keyed.join(again, on(again), "left_semi").join(gone, on(gone), "left_anti")
+        whole = F.struct(*[F.col(f"`{c}`") for c in docs_keyed.columns])
+        more = more.groupBy(id_col, key).agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias("_r")).select("_r.*")
+        left = once.unionByName(more)
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

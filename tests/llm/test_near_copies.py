@@ -14,23 +14,22 @@ def shingles(text):
 
 
 def kept_by_brute_force(rows):
-    """Of each component of rows with an id the least (id, place); all rows without an id."""
-    known = [i for i, r in enumerate(rows) if r[0] is not None]
-    sets = {i: shingles(rows[i][1]) for i in known}
-    root = {i: i for i in known}
+    """Of each component the row of the least id, a null id coming last."""
+    sets = [shingles(r[1]) for r in rows]
+    root = list(range(len(rows)))
 
     def top(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for a, b in combinations(known, 2):
+    for a, b in combinations(range(len(rows)), 2):
         if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
             root[top(a)] = top(b)
     least = {}
-    for i in known:
-        least[top(i)] = min(least.get(top(i), (rows[i][0], i)), (rows[i][0], i))
-    return sorted([rows[i] for _, i in least.values()] + [r for r in rows if r[0] is None], key=str)
+    for i, r in enumerate(rows):
+        least[top(i)] = min(least.get(top(i), (True, 0, i)), (r[0] is None, r[0] or 0, i))
+    return sorted([rows[i] for *_, i in least.values()], key=str)
 
 
 def test_near_copies_by_jaccard(spark):
@@ -49,15 +48,34 @@ def test_near_copies_by_jaccard(spark):
             words[at] = f"n{i}"
         texts.append(" ".join(words))
     texts += [f"one common line that many short texts do hold and then number {i} of them all" for i in range(80)]
+    slot = list(rng.choice(vocabulary, 30))  # a form with one word to fill in: alike, but not enough
+    texts += [" ".join([*slot[:15], f"f{i}", *slot[15:]]) for i in range(120)]
+    texts += [" ".join([*slot, *rng.choice(vocabulary, 4)]) for i in range(60)]
     texts += [texts[0].upper(), "Short text", "short  text", "short", "", " \n", None]
     rows = [(i, t, "x") for i, t in enumerate(texts)] + [(None, texts[0], "y"), (None, None, "y")]
-    table = spark.createDataFrame(rows, "doc_id long, text string, _more string")
+    rows += [rows[3]] * 5 + [rows[-1]] * 3
+    table = spark.createDataFrame(rows, "doc_id long, text string, _hash string")
     got = near_dups.drop_near_duplicates(table)
     assert got.columns == table.columns
     assert sorted(map(tuple, got.collect()), key=str) == kept_by_brute_force(rows)
     assert near_dups.drop_near_duplicates(table.limit(0)).count() == 0
 
 
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        x = np.unique(rng.integers(0, 1 << 63, 300).astype(np.uint64))
+        y = np.unique(np.concatenate([x[rng.integers(0, 20) :], rng.integers(0, 1 << 63, rng.integers(0, 40)).astype(np.uint64)]))
+        bits = sum((a ^ b).bit_count() if a ^ b >= 0 else 64 - (~(a ^ b)).bit_count() for a, b in zip(near_dups._parities(x), near_dups._parities(y), strict=True))
+        assert bits <= len(np.setxor1d(x, y))
+
+
+def test_components_of_chains_and_stars(spark):
+    edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(135, 90), (200, 201)]
+    got = {r.node: r.root for r in near_dups.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(61)}, **{i: 90 for i in [90, *range(100, 140)]}, 200: 200, 201: 200}
+
+
 def test_different_texts_under_one_id(spark):
     rows = [(1, "one text of its own"), (1, "another text that is not alike"), (0, "another text that is not alike"), (1, "one text of its own"), (1, "a third one, quite unlike both")]
     got = near_dups.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
