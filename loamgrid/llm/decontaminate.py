@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, write_table
+from .common import LOWER, UPPER, fresh, write_table
 
 #: Words of a shared span that must be found; k-grams of GRAM words, the least of each WINDOW is kept.
 SPAN, GRAM = 8, 5
 WINDOW = SPAN - GRAM + 1
 #: Words to each side of a matched k-gram that decide whether a span of SPAN words holds it.
 SIDE = SPAN - GRAM
-#: Low bits of a fingerprint hold the position, so texts may have 268 million words; the rest is the hash.
+#: Low bits of a fingerprint hold the position, the rest is the hash.  No array of Spark's reaches 2^28 words: it
+#: takes 8 bytes a word besides the words, and 2^31 bytes at most.
 POS_BITS = 28
-#: Most benchmark rows in one broadcast (about 200 bytes each); a larger benchmark is joined in blocks.
+#: Most benchmark rows in a broadcast (about 200 bytes each); a larger benchmark is joined by a shuffle.
 BLOCK_ROWS = 400_000
 #: Words, with A-Z still in them: they are lower-cased word by word.  ASCII letters and digits, and all
 #: beyond ASCII; Java tests these two classes four times as fast as the ranges they stand for.
@@ -34,47 +35,44 @@ def words_of(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0)), folded)
 
 
-def _winnowed(rows: DataFrame) -> DataFrame:
-    """Adds `fps`: packed (hash, position) minima; null for rows of fewer than SPAN words in `words`.
+def _packed(i: Column, *hashed: Column) -> Column:
+    """Hash of some columns in the high bits, position `i` in the low ones."""
+    return F.xxhash64(*hashed).bitwiseAND(F.lit(-(1 << POS_BITS))).bitwiseOR(i.cast("long"))
 
-    Short rows are not filtered, nor is `explode` (not outer) used on `fps`:
-    either filter would be pushed below and the words be cut again inside it.
-    """
-    enough = F.size("words") >= SPAN
-    gram = F.transform(
-        F.sequence(F.lit(0), F.size("words") - GRAM),
-        lambda i: F.xxhash64(*[F.get("words", i + j) for j in range(GRAM)])
-        .bitwiseAND(F.lit(-(1 << POS_BITS)))
-        .bitwiseOR(i.cast("long")),
-    )
-    hashed = rows.withColumn("_h", F.when(enough, gram))
-    least = F.transform(
-        F.sequence(F.lit(0), F.size("_h") - WINDOW), lambda i: F.least(*[F.get("_h", i + j) for j in range(WINDOW)])
-    )
-    return hashed.withColumn("fps", F.array_distinct(least)).drop("_h")
+
+def _winnowed() -> Column:
+    """Packed (hash, position) minima of the windows of k-grams in `words`; none for fewer than SPAN words."""
+    none = F.array().cast("array<bigint>")
+    gram = F.transform(F.sequence(F.lit(0), F.size("words") - GRAM), lambda i: _packed(i, *[F.get("words", i + j) for j in range(GRAM)]))
+
+    def minima(h: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.least(*[F.get(h, i + j) for j in range(WINDOW)]))
+
+    return F.when(F.size("words") >= SPAN, F.array_distinct(F.transform(F.array(gram), minima)[0])).otherwise(none)
+
+
+def _runs(n: int) -> Column:
+    """Packed hashes of all runs of `n` words, for items of that many words."""
+    run = F.transform(F.sequence(F.lit(0), F.size("words") - n), lambda i: _packed(i, F.lit(n), *[F.get("words", i + j) for j in range(n)]))
+    return F.when(F.size("words") >= n, run).otherwise(F.array().cast("array<bigint>"))
 
 
 def _at(offset: int) -> Column:
     return F.get("words", F.col("pos") + offset)
 
 
-def _unpacked(rows: DataFrame) -> DataFrame:
-    exploded = rows.select("*", F.explode_outer("fps").alias("_fp")).drop("fps")
-    return (
-        exploded.withColumn("key", F.shiftright("_fp", POS_BITS))
-        .withColumn("pos", F.col("_fp").bitwiseAND(F.lit((1 << POS_BITS) - 1)).cast("int"))
-        .drop("_fp")
-    )
+def _unpacked(rows: DataFrame, fps: Column) -> DataFrame:
+    """One row per fingerprint, as `key` and `pos`.
 
-
-def _blocks(table: DataFrame) -> list[DataFrame]:
-    """The benchmark side in parts of about BLOCK_ROWS rows, each fit to broadcast."""
-    n = -(-table.count() // BLOCK_ROWS)
-    return [table.filter(F.pmod(F.xxhash64("item_id", "key"), F.lit(n)) == i) for i in range(n)]
+    `explode_outer`: the filter of `explode` would be pushed below, and the
+    words be cut again inside it.
+    """
+    exploded = rows.withColumn("_fp", F.explode_outer(fps))
+    return exploded.withColumn("key", F.shiftright("_fp", POS_BITS)).withColumn("pos", F.col("_fp").bitwiseAND(F.lit((1 << POS_BITS) - 1)).cast("int")).drop("_fp")
 
 
 def shared_spans(
-    docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str
+    docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, short: bool = True
 ) -> DataFrame:
     """(id, text_hash, item_id, start, stop): word runs of a text that an item holds too.
 
@@ -83,7 +81,11 @@ def shared_spans(
     to the left and right of their k-gram; after the join on the fingerprint the
     words are compared and the hit is extended to both sides.  It counts if it
     reaches SPAN words: each span is then found through its own k-gram.  An item
-    of fewer than SPAN words is one span and is looked up whole.
+    of fewer than SPAN words is one span and is looked up whole, if `short`.
+
+    Texts are cut into words once.  Up to BLOCK_ROWS benchmark rows are
+    broadcast; more are joined by a shuffle, with the texts' rows carrying the
+    words around their k-gram instead of the whole text.
     """
     rows = docs.select(
         F.col(id_col).alias("id"),
@@ -93,50 +95,50 @@ def shared_spans(
     bench = items.select(
         F.col(item_col).cast("string").alias("item_id"), words_of(F.col(item_text_col).cast("string")).alias("words")
     )
-    found = []
-    grams = _unpacked(_winnowed(bench)).filter(F.col("key").isNotNull())
-    context = [_at(j).alias(f"c{j + SIDE}") for j in range(-SIDE, GRAM + SIDE)]
-    grams = write_table(grams.select("key", "item_id", *context), "bench-grams")
-    doc_grams = _unpacked(_winnowed(rows))
+    places = range(-SIDE, GRAM + SIDE)
+    context = F.array(*[_at(j) for j in places])
+    grams = _unpacked(bench, _winnowed()).filter("key is not null").select("key", "item_id", F.lit(0).alias("n"), context.alias("c"))
+    if short:
+        few = bench.filter(F.size("words").between(1, SPAN - 1)).withColumn("n", F.size("words")).withColumn("pos", F.lit(0))
+        key = F.lit(None).cast("long")
+        for n in range(1, SPAN):
+            key = F.when(F.col("n") == n, F.shiftright(_packed(F.lit(0), F.lit(n), *[_at(j) for j in range(n)]), POS_BITS)).otherwise(key)
+        grams = grams.unionByName(few.select(key.alias("key"), "item_id", "n", context.alias("c")))
+    grams = write_table(grams, "bench-grams")
+    lengths = [r[0] for r in grams.filter("n > 0").select("n").distinct().collect()]  # SPAN - 1 at most
+    fps = F.concat(_winnowed(), *[_runs(n) for n in sorted(lengths)])
+    at = _unpacked(rows, fps)
+    if grams.count() <= BLOCK_ROWS:
+        hit, word = at.join(F.broadcast(grams), "key"), _at
+    else:
+        slim = at.select("id", "text_hash", "key", "pos", F.when(F.col("key").isNotNull(), context).alias("w"))
+        hit = slim.join(grams, "key")
+
+        def word(j: int) -> Column:
+            return F.get("w", F.lit(j + SIDE))
+
+    def other(j: int) -> Column:
+        return F.get("c", F.lit(j + SIDE))
+
     same = F.lit(True)
-    for j in range(GRAM):
-        same = same & (_at(j) == F.col(f"c{j + SIDE}"))
+    for j in range(SPAN - 1):
+        needed = F.when(F.col("n") > 0, F.col("n")).otherwise(GRAM)
+        same = same & ((F.lit(j) >= needed) | (word(j) == other(j)))
     left, right = F.lit(SIDE), F.lit(SIDE)
     for j in range(SIDE, 0, -1):  # the nearest difference decides
-        left = F.when(_at(-j).eqNullSafe(F.col(f"c{SIDE - j}")) & _at(-j).isNotNull(), left).otherwise(j - 1)
+        left = F.when(word(-j).eqNullSafe(other(-j)) & word(-j).isNotNull(), left).otherwise(j - 1)
         reach = GRAM + j - 1
-        right = F.when(_at(reach).eqNullSafe(F.col(f"c{SIDE + reach}")) & _at(reach).isNotNull(), right).otherwise(j - 1)
-    for block in _blocks(grams):
-        hit = doc_grams.join(F.broadcast(block), "key").filter(same)
-        hit = hit.select(
-            "id",
-            "text_hash",
-            "item_id",
-            (F.col("pos") - left).alias("start"),
-            (F.col("pos") + GRAM + right).alias("stop"),
-        )
-        found.append(hit.filter(F.col("stop") - F.col("start") >= SPAN))
-    short = bench.filter(F.size("words").between(1, SPAN - 1))
-    short = write_table(short.select("item_id", "words", F.size("words").alias("n")), "bench-short")
-    for (n,) in sorted(short.select("n").distinct().collect()):
-        gram = F.xxhash64(*[_at(j) for j in range(n)])
-        whole = short.filter(F.col("n") == n).withColumn("pos", F.lit(0))
-        whole = whole.select("item_id", gram.alias("key"), *[_at(j).alias(f"c{j}") for j in range(n)])
-        spots = F.when(F.size("words") >= n, F.sequence(F.lit(0), F.size("words") - n))
-        at = rows.select("*", F.explode_outer(spots).alias("pos")).withColumn("key", gram)
-        same = F.lit(True)
-        for j in range(n):
-            same = same & (_at(j) == F.col(f"c{j}"))
-        for block in _blocks(whole):
-            hit = at.join(F.broadcast(block), "key").filter(same)
-            found.append(hit.select("id", "text_hash", "item_id", F.col("pos").alias("start"), (F.col("pos") + n).alias("stop")))
-    if not found:
-        none = rows.filter(F.lit(False))
-        return none.select("id", "text_hash", F.lit("").alias("item_id"), F.lit(0).alias("start"), F.lit(0).alias("stop"))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+        right = F.when(word(reach).eqNullSafe(other(reach)) & word(reach).isNotNull(), right).otherwise(j - 1)
+    whole = F.col("n") > 0
+    found = hit.filter(same).select(
+        "id",
+        "text_hash",
+        "item_id",
+        F.when(whole, F.col("pos")).otherwise(F.col("pos") - left).alias("start"),
+        F.when(whole, F.col("pos") + F.col("n")).otherwise(F.col("pos") + GRAM + right).alias("stop"),
+        "n",
+    )
+    return found.filter((F.col("n") > 0) | (F.col("stop") - F.col("start") >= SPAN)).drop("n")
 
 
 def contamination(
@@ -187,15 +189,21 @@ def contamination(
     )
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Rows of `docs` (doc_id, text, ...) that share no span with an item; those that do go.
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of `docs` that share no span of SPAN words with an item; those that do go.
 
-    Judged by (doc_id, text), so repeated rows go or stay together.
+    An item of fewer words removes nothing here: one of a few common words would
+    take clean documents with it.  Judged by (id, text), so repeated rows go or
+    stay together and different texts of one id are judged apart; null and empty
+    texts and rows with a null id that share no span stay; all columns stay.
     """
-    spans = shared_spans(docs, items, "doc_id", "text", "item_id", "text")
-    hit = spans.select(F.col("id").alias("_id"), F.col("text_hash").alias("_h")).distinct()
-    keyed = docs.withColumn("_t", F.xxhash64("text"))
-    return keyed.join(hit, keyed.doc_id.eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_h")), "left_anti").drop("_t")
+    spans = shared_spans(docs, items, id_col, text_col, "item_id", "text", short=False)
+    # As a table its size is known: the texts are shuffled only if it is too large to broadcast.
+    hit = write_table(spans.select("id", "text_hash").distinct(), "contaminated")
+    (key,) = fresh(docs, "_hash")
+    keyed = docs.withColumn(key, F.xxhash64(text_col))
+    out = keyed.join(hit, keyed[id_col].eqNullSafe(hit.id) & (keyed[key] == hit.text_hash), "left_anti")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:

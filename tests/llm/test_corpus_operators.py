@@ -8,6 +8,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from loamgrid.llm import (
     decontaminate, license_scan, near_dups, packing, pii, quality_rules, sharding, token_output, toxicity, url_reputation,
@@ -283,24 +284,27 @@ def test_decontamination(spark, docs, empty):
     want = Counter((r.doc_id, *map(str, spans_of(r.text, items))) for r in table.collect())
     assert Counter((r.id, str(r.n_words), str(r.n_hit), str(r["items"])) for r in got) == want
     kept = decontaminate.drop_contaminated(table, bench)
-    assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in table.collect() if not spans_of(r.text, items)[1])
+    long = [x for x in items if x[1] and len(x[1].split()) >= 8]
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in table.collect() if not spans_of(r.text, long)[1])
+    clash = decontaminate.drop_contaminated(table.select("doc_id", "text", F.lit(1).alias("_hash"), F.lit(2).alias("id"), F.lit(3).alias("text_hash")), bench)
+    assert Counter(tuple(r)[2:] for r in clash.collect()) == {(1, 2, 3): kept.count()}
     assert kept.columns == table.columns
     assert decontaminate.contamination(empty, bench).count() == 0
     assert all(r.n_hit == 0 for r in decontaminate.contamination(docs, bench.limit(0)).collect())
 
 
-def test_benchmark_in_blocks(spark, monkeypatch):
+def test_large_benchmark_by_shuffle(spark, monkeypatch):
     items = [(i, " ".join(f"w{(i * j) % 17}" for j in range(20))) for i in range(12)]
     texts = [(i, "a b " + t + " c") for i, t in items]
     bench, table = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(texts, "doc_id long, text string")
     whole = sorted(map(str, decontaminate.contamination(table, bench).collect()))
+    bench = bench.unionByName(spark.createDataFrame([(90, "a b w0"), (91, "c")], bench.schema))
+    whole = sorted(map(str, decontaminate.contamination(table, bench).collect()))
     monkeypatch.setattr(decontaminate, "BLOCK_ROWS", 10)
     assert sorted(map(str, decontaminate.contamination(table, bench).collect())) == whole
 
 
 def test_feistel_is_a_permutation(spark):
-    from pyspark.sql import functions as F
-
     for a, b in ((1, 1), (3, 5), (10, 100), (270, 270)):
         df = spark.range(a * b).select(pii.feistel(F.col("id"), F.lit(a).cast("long"), F.lit(b).cast("long"), "t", "k").alias("v"))
         assert sorted(r.v for r in df.collect()) == list(range(a * b))
