@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 ROUNDS = 8
 EMAIL = r"(?<![\w.%+-])[\w.%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 #: Characters of an IBAN by country: in print, in groups of four, only the length tells where it ends.
@@ -34,7 +36,10 @@ CARD = rf"(?<![\w.-])\d(?: (?!{IP}|{DATE}|{SSN}|{PHONE})\d|-?\d){{12,18}}(?!\w|-
 ANY = "|".join((EMAIL, IBAN, IP, DATE, SSN, PHONE, CARD))
 #: A text with neither of these holds no value.
 HINT = "[0-9@]"
-DAYS, EPOCH = 270, "1900-01-01"
+#: 72,900 days from EPOCH on are permuted among themselves (270 * 270), so a recent date stays plausible; all other
+#: days of the years 0001 to 9999 (1227 * 2917) among themselves.
+EPOCH, NEAR, FAR = "1900-01-01", (270, 270), (1227, 2917)
+BEFORE, DAYS = 693_595, 3_652_059
 
 
 def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -42,15 +47,16 @@ def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def feistel(value: Column, a: Column, b: Column, tag: str, key: str) -> Column:
-    """Keyed permutation of 0 .. a*b-1.
+def feistel(value: Column, a: Column, b: Column, tag: str | Column, key: str) -> Column:
+    """Keyed permutation of 0 .. a*b-1, another one for each tag.
 
     An alternating Feistel network on (value div b, value mod b): each round
     adds a keyed SHA-256 of one half to the other, modulo that half's size.
     """
+    tag = F.lit(tag) if isinstance(tag, str) else tag
 
     def mixed(i: Column, half: Column) -> Column:
-        digest = F.sha2(F.concat_ws(":", F.lit(key), F.lit(tag), i.cast("string"), half.cast("string")), 256)
+        digest = F.sha2(F.concat_ws(":", F.lit(key), tag, i.cast("string"), half.cast("string")), 256)
         return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
     def step(s: Column, i: Column) -> Column:
@@ -60,8 +66,8 @@ def feistel(value: Column, a: Column, b: Column, tag: str, key: str) -> Column:
             F.when(even, s["b"]).otherwise(F.pmod(s["b"] + F.pmod(mixed(i, s["a"]), b), b)).alias("b"),
         )
 
-    # `/` is on doubles: exact here, as the dividend is a multiple of b and the quotient below 2^53.
-    start = F.struct(((value - F.pmod(value, b)) / b).cast("long").alias("a"), F.pmod(value, b).alias("b"))
+    # `/` is on doubles: the quotient is below 2^53, the dividend may not be, so the result is rounded.
+    start = F.struct(F.round((value - F.pmod(value, b)) / b).cast("long").alias("a"), F.pmod(value, b).alias("b"))
     return F.aggregate(F.array(*[F.lit(i) for i in range(ROUNDS)]), start, step, lambda s: s["a"] * b + s["b"])
 
 
@@ -74,12 +80,23 @@ def _digits(text: Column) -> Column:
 
 
 def _permuted(digits: Column, tag: str, key: str) -> Column:
-    """Digits of any length up to 17, permuted among those of their length."""
+    """Digits of any length up to 36, permuted among those of their length.
+
+    Beyond 18 the last 18 are permuted under a tag with the others, then those
+    under a tag with the new last 18.
+    """
     powers = F.array(*[_long(10**i) for i in range(10)])
-    n = F.length(digits)
-    halves = [F.element_at(powers, (F.ceil(n / 2) + 1).cast("int")), F.element_at(powers, (F.floor(n / 2) + 1).cast("int"))]
-    new = feistel(digits.cast("long"), *halves, tag, key).cast("string")
-    return F.when(n == 0, digits).otherwise(F.lpad(new, n, "0"))
+
+    def part(d: Column, tag: str | Column) -> Column:
+        n = F.length(d)
+        halves = [F.element_at(powers, (F.ceil(n / 2) + 1).cast("int")), F.element_at(powers, (F.floor(n / 2) + 1).cast("int"))]
+        return F.when(n == 0, d).otherwise(F.lpad(feistel(d.cast("long"), *halves, tag, key).cast("string"), n, "0"))
+
+    def long(d: Column) -> Column:
+        head, tail = F.substring(d, F.lit(1), F.length(d) - 18), F.substring(d, F.length(d) - 17, F.lit(18))
+        return _bound(part(tail, F.concat(F.lit(tag + "/"), head)), lambda t: F.concat(part(head, F.concat(F.lit(tag + "\\"), t)), t))
+
+    return _bound(digits, lambda d: F.when(F.length(d) <= 18, part(d, tag)).otherwise(long(d)))
 
 
 def _luhn(digits: Column) -> Column:
@@ -143,7 +160,7 @@ def _phone(m: Column, key: str) -> Column:
 
     def new(c: Column) -> Column:
         rest = F.substring(_digits(m), F.length(c) + 1, F.length(m))
-        moved = _bound(rest, lambda d: F.when(F.length(d).between(4, 17), _permuted(d, "phone", key)).otherwise(d))
+        moved = _bound(rest, lambda d: F.when(F.length(d).between(4, 36), _permuted(d, "phone", key)).otherwise(d))
         return _bound(F.concat(c, moved), lambda x: _laid_out(m, x))
 
     return _bound(code, new)
@@ -191,9 +208,15 @@ def _date(m: Column, key: str, day_first: Column) -> Column:
 
     def formed(pattern: str) -> Column:
         def new(days: Column) -> Column:
-            good = days.between(0, DAYS * DAYS - 1)
-            moved = feistel(days.cast("long"), _long(DAYS), _long(DAYS), "date", key).cast("int")
-            return F.when(good, F.date_format(F.date_add(F.lit(EPOCH).cast("date"), moved), pattern)).otherwise(m)
+            near = days.between(0, NEAR[0] * NEAR[1] - 1)
+            count = (days + F.when(days < 0, BEFORE).otherwise(BEFORE - NEAR[0] * NEAR[1])).cast("long")
+            far = _bound(
+                feistel(count, _long(FAR[0]), _long(FAR[1]), "far-date", key),
+                lambda v: F.when(v < BEFORE, v - BEFORE).otherwise(v - BEFORE + NEAR[0] * NEAR[1]),
+            )
+            moved = F.when(near, feistel(days.cast("long"), _long(NEAR[0]), _long(NEAR[1]), "date", key)).otherwise(far)
+            good = days.between(-BEFORE, DAYS - BEFORE - 1)
+            return F.when(good, F.date_format(F.date_add(F.lit(EPOCH).cast("date"), moved.cast("int")), pattern)).otherwise(m)
 
         return _bound(F.datediff(F.try_to_date(m, pattern), F.lit(EPOCH).cast("date")), new)
 
@@ -217,7 +240,7 @@ def _mod97(text: Column) -> Column:
 
 
 def _iban(m: Column, key: str) -> Column:
-    """Digits at the end of the account are permuted (17 at most) and the check digits made anew; groups of four stay.
+    """All digits after the check digits are permuted, in their places, and the check digits made anew; groups of four stay.
 
     A printed form that fails may still hold a card after its first group.
     """
@@ -226,8 +249,7 @@ def _iban(m: Column, key: str) -> Column:
     def new(compact: Column) -> Column:
         country, rest = F.substring(compact, 1, 2), F.substring(compact, F.lit(5), F.length(compact))
         good = _mod97(F.concat(rest, F.substring(compact, 1, 4))) == 1
-        tail = F.regexp_extract(rest, r"(\d{1,17})$", 1)
-        moved = _bound(tail, lambda d: F.concat(F.substring(compact, F.lit(5), F.length(compact) - 4 - F.length(d)), _permuted(d, "iban", key)))
+        moved = _bound(_permuted(_digits(rest), "iban", key), lambda d: _laid_out(rest, d))
 
         def checked(x: Column) -> Column:
             check = 98 - _mod97(F.concat(x, country, F.lit("00")))
@@ -265,12 +287,13 @@ def pseudonymize(
     """Replace personal values in `text_col` by keyed pseudonyms of their own format.
 
     Card numbers (Luhn), IBANs (mod 97), IPv4 addresses (octets), US social
-    security numbers, phone numbers and calendar dates (1900-01-01 and 72,899
-    days on) are permuted within their format by a Feistel network keyed with
-    `key`: check digits hold again, separators stay, and equal values get equal
-    pseudonyms in every document, however they are laid out.  An e-mail address
-    becomes a keyed address under `.invalid`.  Numbers that fail validation
-    stay as they are.
+    security numbers, phone numbers and calendar dates (0001-01-01 to
+    9999-12-31) are permuted within their format by a Feistel network keyed
+    with `key`: check digits hold again, separators stay, and equal values get
+    equal pseudonyms in every document, however they are laid out.  An e-mail
+    address has no fixed format: it becomes a keyed hash under `.invalid`.
+    Numbers that fail validation stay as they are, as does a phone number of
+    fewer than 4 digits after its country code.
 
     An IBAN may be printed in groups of four.  Of 03/04/1990 the month comes
     first in English and where `lang_col` is null or missing, else the day; a
@@ -287,17 +310,17 @@ def pseudonymize(
     columns = docs.columns
     english = F.lower(F.col(lang_col).cast("string")).startswith("en") if lang_col in columns else F.lit(True)
     day_first = ~F.coalesce(english, F.lit(True))
-    out = docs.withColumn("_found", found)
-    out = out.withColumn("_new", F.when(F.size("_found") > 0, F.transform("_found", lambda m: pseudonym(m, key, day_first))))
-    joined = F.array_join(
-        F.zip_with(F.split(text, ANY, -1), "_new", lambda p, n: F.concat(p, F.coalesce(n, F.lit("")))), ""
-    )
-    out = out.withColumn(text_col, F.when(F.col("_new").isNotNull(), joined).otherwise(text))
+    values, changed = fresh(docs, "_found", "_new")
+    out = docs.withColumn(values, found)
+    out = out.withColumn(changed, F.when(F.size(values) > 0, F.transform(values, lambda m: pseudonym(m, key, day_first))))
+    joined = F.array_join(F.zip_with(F.split(text, ANY, -1), changed, lambda p, n: F.concat(p, F.coalesce(n, F.lit("")))), "")
+    any_new = F.col(changed).isNotNull()
+    more = []
     if count_col:
-        differs = F.size(F.filter(F.arrays_zip("_found", "_new"), lambda x: x["_found"] != x["_new"]))
-        out = out.withColumn(count_col, F.when(F.col("_new").isNotNull(), differs).otherwise(0).cast("long"))
-        columns = [*[c for c in columns if c != count_col], count_col]
-    return out.select(*columns)
+        differs = F.size(F.filter(F.zip_with(values, changed, lambda x, y: x != y), lambda x: x))
+        more.append(F.when(any_new, differs).otherwise(0).cast("long").alias(count_col))
+    kept = [F.when(any_new, joined).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in columns if c != count_col]
+    return out.select(*kept, *more)
 
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:
