@@ -255,6 +255,42 @@ def test_reputation_shrinks(spark):
     assert got["one.a.com"].bound < 0.5  # one page is no proof
 
 
+def test_levels_of_hosts(spark):
+    want = {"a.b.example.com": ("example.com", "com"), "x.shop.co.uk:8080": ("shop.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "me:pw@www.x.org": ("x.org", "org"),
+            "1.2.3.4:80": ("1.2.3.4", ""), "[::1]:80": ("[::1]", ""), "localhost": ("localhost", "localhost"), "": ("", ""), "1.2.3.4.5": ("4.5", "5")}
+    df = spark.createDataFrame([(h,) for h in want], "host string")
+    domain, suffix = url_reputation.levels(F.col("host"))
+    assert {r.host: (r.d, r.s) for r in df.select("host", domain.alias("d"), suffix.alias("s")).collect()} == want
+    domain, suffix = url_reputation.levels(F.col("host"), ["k12.ca.us", "uk"])
+    df = spark.createDataFrame([("www.school.k12.ca.us",), ("a.b.co.uk",)], "host string")
+    assert [tuple(r) for r in df.select(domain, suffix).collect()] == [("school.k12.ca.us", "k12.ca.us"), ("co.uk", "uk")]
+
+
+def test_bound_is_near_the_beta_quantile(spark):
+    rng = np.random.default_rng(7)
+    sizes = {"a.com": (40, 36), "b.com": (10, 5), "c.com": (30, 3), "d.com": (0, 0), "e.com": (5, 5)}
+    rows = [(h, int(i < k)) for h, (n, k) in sizes.items() for i in range(n)]
+    hosts = spark.createDataFrame([(h,) for h in sizes], "host string")
+    by_host = spark.createDataFrame([(n, k) for n, k in sizes.values()], "n long, k long")
+    strength = url_reputation._strength(by_host)
+    for r in url_reputation.host_reputation(spark.createDataFrame(rows, "host string, bad long"), hosts).collect():
+        n, _ = sizes[r.host]
+        a = r["mean"] * (n + strength)
+        exact = np.quantile(rng.beta(a, n + strength - a, 200_000), 0.05)
+        assert r.bound < exact + 0.03
+        if min(a, n + strength - a) >= 0.5:
+            assert abs(r.bound - exact) < 0.03
+
+
+def test_bound_decides_both_ways(spark):
+    urls = [(i, f"http://{'bad' if i % 2 else 'good'}.host{i % 2}.info/p/{i}") for i in range(200)]
+    pages = spark.createDataFrame(urls + [(900, "http://bad.host1.info/unknown"), (901, "http://new.host0.info/x"), (902, "http://bad.host1.info:81/" + "x" * 100_000)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(200)], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r.verdict for r in url_reputation.judge_urls(pages, labels).collect()}
+    assert all(got[i] == ("block" if i % 2 else "allow") for i in range(200))
+    assert got[900] == "block" and got[901] == "allow"
+
+
 def spans_of(text, items):
     split = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     low = lambda t: split.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
