@@ -100,8 +100,10 @@ def host_reputation(outcomes: DataFrame, hosts: DataFrame, suffixes: Sequence[st
     The host's posterior is Beta(a, b); `bound` is its lower quantile, taken on
     the logit scale, where the mean is digamma(a) - digamma(b) and the variance
     trigamma(a) + trigamma(b): it follows the skew of small counts and lies
-    between 0 and 1.  Where a and b are 0.5 or more it is within 0.03 of the
-    exact quantile; below that it is too low, so such a host is not blocked.
+    between 0 and 1.  There b counts as 1 at least, as if one good page were
+    still expected: without it a host of bad pages alone would have no bound.
+    Against exact quantiles the bound is at most 0.03 too high, and 0.1 too low
+    where b is 1 or more.
     """
     counted = outcomes.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("k"))
     named = counted.unionByName(hosts.select("host", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("k")))
@@ -121,7 +123,8 @@ def host_reputation(outcomes: DataFrame, hosts: DataFrame, suffixes: Sequence[st
     found = by_host.join(write_table(by_domain, "url-domains"), ["domain", "suffix"])
     found = found.select("host", (F.col("k") + s3 * F.col("m2")).alias("a"), (F.col("n") + s3).alias("size"))
     found = found.select("host", "a", (F.col("size") - F.col("a")).alias("b"), (F.col("a") / F.col("size")).alias("mean"))
-    low = _digamma(F.col("a")) - _digamma(F.col("b")) - Z * F.sqrt(_trigamma(F.col("a")) + _trigamma(F.col("b")))
+    good = F.greatest("b", F.lit(1.0))
+    low = _digamma(F.col("a")) - _digamma(good) - Z * F.sqrt(_trigamma(F.col("a")) + _trigamma(good))
     return found.select("host", "mean", (1 / (1 + F.exp(-low))).alias("bound"))
 
 
@@ -206,7 +209,7 @@ ms AS (SELECT suffix, (k + s1.s * m0) / (n + s1.s) AS m1 FROM s, s1, m),
 md AS (SELECT domain, suffix, (k + s2.s * m1) / (n + s2.s) AS m2 FROM d JOIN ms USING (suffix), s2),
 mh AS (SELECT host, k + s3.s * m2 AS a, n + s3.s - (k + s3.s * m2) AS b, (k + s3.s * m2) / (n + s3.s) AS mean FROM h JOIN md USING (domain, suffix), s3),
 b AS (
-  SELECT host, mean, 1 / (1 + exp(-({_digamma_sql("a")} - ({_digamma_sql("b")}) - {Z} * sqrt({_trigamma_sql("a")} + {_trigamma_sql("b")})))) AS bound FROM mh),
+  SELECT host, mean, 1 / (1 + exp(-({_digamma_sql("a")} - ({_digamma_sql("greatest(b, 1.0)")}) - {Z} * sqrt({_trigamma_sql("a")} + {_trigamma_sql("greatest(b, 1.0)")})))) AS bound FROM mh),
 r AS (SELECT * FROM (VALUES {", ".join(f"('{a}', '{h}', '{q}')" for a, h, q in RULES)}) AS r(action, rule_host, rule_path)),
 f AS (
   SELECT page_id, host, path, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
