@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +30,16 @@ NOTICES = {
     "cc-by-nc-4.0": ["Licensed under CC BY-NC 4.0."],
     "proprietary": ["All rights reserved."],
 }
-#: Notices, and the bodies and standard headers; a deployment passes its own, of any length.
-TEMPLATES = {name: [*NOTICES.get(name, []), *TEXTS.get(name, [])] for name in [*NOTICES, *[n for n in TEXTS if n not in NOTICES]]}
-GRAM, WINDOW, BAND = 3, 2, 6
+#: Whole texts of the long licences, as published.
+WHOLE = {p.stem: [p.read_text("utf-8")] for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
+#: Notices, bodies and standard headers, whole texts; a deployment passes its own, of any length.
+TEMPLATES = {name: [*NOTICES.get(name, []), *TEXTS.get(name, []), *WHOLE.get(name, [])] for name in dict.fromkeys([*NOTICES, *TEXTS, *WHOLE])}
+#: Words of a k-gram; k-grams in a window of a template of at least SHORT words (shorter ones keep all); words beside the diagonal.
+GRAM, WINDOW, SHORT, BAND = 3, 2, 20, 6
 #: Least share of a template's words that must be matched in order.
 COVERAGE = 0.85
+#: Kept k-grams a word of a long template that are intact at least: of COVERAGE - 2 * (1 - COVERAGE) one in two is kept.
+SEEDS = 0.25
 _TOKEN = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
 
@@ -63,7 +71,11 @@ def _grams(ids: np.ndarray, base: int) -> np.ndarray:
 
 
 def build_index(templates: dict[str, list[str]]) -> Index:
-    """Winnow each template: of every WINDOW k-grams the least mixed key is kept."""
+    """Winnow each template: of every WINDOW k-grams the least mixed key is kept.
+
+    A run of GRAM + WINDOW - 1 words in common, or of GRAM words in a template of
+    fewer than SHORT, always finds it.
+    """
     vocabulary: dict[str, int] = {}
     names, ids = [], []
     for name, texts in templates.items():
@@ -76,7 +88,7 @@ def build_index(templates: dict[str, list[str]]) -> Index:
     for t, x in enumerate(ids):
         keys = _grams(x, len(vocabulary))
         mixed = (keys * np.int64(-7046029254386353131)) ^ (keys >> 7)
-        width = min(WINDOW, max(1, len(keys)))
+        width = min(WINDOW if len(x) >= SHORT else 1, max(1, len(keys)))
         kept = {i + int(np.argmin(mixed[i : i + width])) for i in range(max(0, len(keys) - width + 1))}
         for i in sorted(kept):
             places.setdefault(int(keys[i]), []).append((t, i))
@@ -115,39 +127,63 @@ def align(template: np.ndarray, ids: np.ndarray, diagonal: int) -> tuple[int, in
     return best[b][1], best[b][2], stop
 
 
+def _diagonals(hits: Counter[int], n: int) -> list[int]:
+    """Diagonals that a template of `n` words is aligned on: all that were hit, or of a longer one the best in reach.
+
+    With a share of 1 - COVERAGE of its words replaced, at least SEEDS * n of its
+    kept k-grams lie within BAND of one diagonal.
+    """
+    d = np.array(sorted(hits), np.int64)
+    if n < SHORT:
+        return d.tolist()
+    total = np.concatenate([[0], np.cumsum([hits[x] for x in d.tolist()])])
+    near = total[np.searchsorted(d, d + BAND, "right")] - total[np.searchsorted(d, d - BAND, "left")]
+    keep: list[int] = []
+    for i in np.argsort(-near, kind="stable").tolist():
+        if near[i] < SEEDS * n - 2:
+            break
+        at = bisect_left(keep, int(d[i]))
+        if all(abs(x - int(d[i])) > BAND for x in keep[max(0, at - 1) : at + 1]):
+            insort(keep, int(d[i]))
+    return keep
+
+
 def scan(text: str, index: Index) -> list[tuple[str, float, int, int]]:
     """(licence, coverage, start, stop) of the notices in a text, by place; spans are character offsets.
 
     Of notices that overlap the one with more matched words counts.
     """
     lowered = text.lower()
-    words = _TOKEN.findall(lowered)
+    same = len(lowered) == len(text)  # else some letter became two, and words are cut before they are folded
+    words = _TOKEN.findall(lowered) if same else [w.lower() for w in _TOKEN.findall(text)]
     get = index.vocabulary.get
     ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
     keys = _grams(ids, max(1, len(index.vocabulary)))
     at = np.flatnonzero(np.isin(keys, index.keys)) if len(keys) else []
-    seen: set[tuple[int, int]] = set()
+    seen: dict[int, Counter[int]] = {}
     for i in at:
         for t, p in index.places[int(keys[i])]:
-            seen.add((t, int(i) - p))
+            seen.setdefault(t, Counter())[int(i) - p] += 1
     if not seen:
         return []
     found = []
-    for t, d in sorted(seen):
-        # No placing can match a template word that the words in reach lack.
-        reach = ids[max(0, d - BAND) : max(0, d + len(index.templates[t]) + BAND)]
-        if np.isin(index.templates[t], reach).sum() / len(index.templates[t]) < COVERAGE:
+    for t, d in ((t, d) for t in sorted(seen) for d in _diagonals(seen[t], len(index.templates[t]))):
+        # No placing can match more words than are in reach, nor a template word that they lack.
+        template = index.templates[t]
+        reach = ids[max(0, d - BAND) : max(0, d + len(template) + BAND)]
+        if len(reach) < COVERAGE * len(template) or np.isin(template, reach).sum() < COVERAGE * len(template):
             continue
-        matched, start, stop = align(index.templates[t], ids, d)
-        coverage = matched / len(index.templates[t])
+        matched, start, stop = align(template, ids, d)
+        coverage = matched / len(template)
         if coverage >= COVERAGE and stop > start:
             found.append((-matched, -coverage, start, stop, t))
-    spans = [m.span() for m in _TOKEN.finditer(lowered)]
-    taken: list[tuple[int, int]] = []
+    spans = [m.span() for m in _TOKEN.finditer(lowered if same else text)]
+    taken: list[tuple[int, int]] = []  # in order, none overlaps another
     out = []
     for _, coverage, start, stop, t in sorted(found):
-        if all(stop <= a or start >= z for a, z in taken):
-            taken.append((start, stop))
+        i = bisect_left(taken, (start, stop))
+        if (i == 0 or taken[i - 1][1] <= start) and (i == len(taken) or taken[i][0] >= stop):
+            insort(taken, (start, stop))
             out.append((index.names[t], -coverage, spans[start][0], spans[stop - 1][1]))
     return sorted(out, key=lambda x: (x[2], x[0]))
 
@@ -160,7 +196,7 @@ def license_notices(
     The index of the templates is small and goes with the function.  Null and
     empty texts have no notices; equal rows are all kept; an empty table gives
     an empty result; further columns are ignored.  Offsets count characters of
-    the lower-cased text.
+    the text as it is.
     """
     index = build_index(templates or TEMPLATES)
     kind = docs.select(id_col).schema[0].dataType.simpleString()
