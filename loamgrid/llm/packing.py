@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_ranks, write_table
+from .common import bucket_ranks, fresh, write_table
 
 RANK_BITS = 12
 
@@ -76,28 +76,31 @@ def pack(
     counted in hash buckets, so a bucket with most of the rows is not gathered.
 
     Adds bucket (0-based), bucket_len, batch (0-based in its bucket), slot and
-    padding.  A null length counts as 0; equal rows stay, each in its own slot;
-    an empty table gives an empty result; other columns pass through.
+    padding; columns of these names are replaced, all others pass through.  A
+    null length counts as 0; equal rows stay, each in its own slot; an empty
+    table gives an empty result.
     """
-    n = F.coalesce(F.col(length_col), F.lit(0)).cast("long")
-    rows = rows.withColumn("_len", n)
-    histogram = rows.groupBy("_len").agg(F.count(F.lit(1)).alias("_n")).collect()
+    length, h, b, rank, total = fresh(rows, "_len", "_h", "_b", "_rank", "_total")
+    made = ["bucket", "bucket_len", "batch", "slot", "padding"]
+    rows = rows.drop(*[c for c in made if c not in (id_col, length_col)])
+    salt = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in rows.columns])  # one id may be that of many rows
+    rows = rows.withColumn(length, F.coalesce(F.col(length_col), F.lit(0)).cast("long")).withColumn(h, salt)
+    histogram = rows.groupBy(length).agg(F.count(F.lit(1))).collect()
     bounds = optimal_buckets([r[0] for r in histogram], [r[1] for r in histogram], k)
     bucket = F.lit(max(0, len(bounds) - 1))
     bound = F.lit(bounds[-1] if bounds else 0).cast("long")
     for i in range(len(bounds) - 2, -1, -1):
-        bucket = F.when(F.col("_len") <= bounds[i], i).otherwise(bucket)
-        bound = F.when(F.col("_len") <= bounds[i], F.lit(bounds[i]).cast("long")).otherwise(bound)
+        bucket = F.when(F.col(length) <= bounds[i], i).otherwise(bucket)
+        bound = F.when(F.col(length) <= bounds[i], F.lit(bounds[i]).cast("long")).otherwise(bound)
     rows = rows.withColumn("bucket", bucket.cast("int")).withColumn("bucket_len", bound)
-    rows = rows.withColumn("_h", F.xxhash64(F.lit(seed), id_col))
-    rows = rows.withColumn("_b", F.shiftrightunsigned("_h", 64 - RANK_BITS))
-    ranked = bucket_ranks(rows, ["bucket"], "_b", ["_h", id_col, "_len"], "_rank", "_total")
+    rows = rows.withColumn(b, F.shiftrightunsigned(h, 64 - RANK_BITS))
+    ranked = bucket_ranks(rows, ["bucket"], b, [h, id_col, length], rank, total)
     per = f"greatest(1L, {budget} div greatest(bucket_len, 1L))"
     return (
-        ranked.withColumn("batch", F.expr(f"_rank div {per}"))
-        .withColumn("slot", F.expr(f"cast(_rank % {per} as int)"))
-        .withColumn("padding", F.col("bucket_len") - F.col("_len"))
-        .drop("_h", "_b", "_rank", "_total", "_len")
+        ranked.withColumn("batch", F.expr(f"{rank} div {per}"))
+        .withColumn("slot", F.expr(f"cast({rank} % {per} as int)"))
+        .withColumn("padding", F.col("bucket_len") - F.col(length))
+        .drop(h, b, rank, total, length)
     )
 
 
