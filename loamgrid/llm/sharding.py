@@ -41,7 +41,7 @@ def interleave(
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
     )
     slim = slim.withColumn("_g", F.when(F.col("source").isNull(), "0").otherwise(F.concat(F.lit("1"), "source")))
-    slim = slim.withColumn("_h", F.xxhash64(F.lit(seed), "id"))
+    slim = slim.withColumn("_h", F.xxhash64(F.lit(seed), "id", "size", "text_crc32"))  # one id may be that of many rows
     slim = write_table(slim.withColumn("_b", F.shiftrightunsigned("_h", 64 - RANK_BITS)), "shard-rows")
     within = bucket_ranks(slim, ["_g"], "_b", ["_h", "id", "size", "text_crc32"], "_r", "_n")
     phase = hash01(F.lit(seed), F.col("_g"))
@@ -64,8 +64,11 @@ def interleave(
 
 
 def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Write the rows as one folder per shard, sorted by slot.  Ids must be unique and not null."""
-    keyed = docs.join(placed.select(F.col("id").alias(id_col), "shard", "slot"), id_col)
+    """Write the rows as one folder per shard, sorted by slot.  Ids must be unique and not null.
+
+    Columns `shard` and `slot` of `docs` are replaced.
+    """
+    keyed = docs.drop("shard", "slot").join(placed.select(F.col("id").alias(id_col), "shard", "slot"), id_col)
     keyed.repartition("shard", F.pmod(F.col("slot"), F.lit(64))).sortWithinPartitions("shard", "slot").write.partitionBy(
         "shard"
     ).parquet(path)
