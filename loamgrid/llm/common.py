@@ -95,17 +95,18 @@ def bucket_ranks(
     groups x buckets rows.  Group and bucket columns must not be null.
     """
     keys = [*group, bucket]
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    n, base = fresh(df, "_n", "_below")
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(n))
     whole = Window.partitionBy(*group) if group else Window.partitionBy()
     below = whole.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        *keys, F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_below"), F.sum("_n").over(whole).alias(total)
+        *keys, F.coalesce(F.sum(n).over(below), F.lit(0)).alias(base), F.sum(n).over(whole).alias(total)
     )
     inner = Window.partitionBy(*keys).orderBy(*order)
     return (
         df.join(offsets, keys)
-        .withColumn(rank, F.col("_below") + F.row_number().over(inner) - 1)
-        .drop("_below")
+        .withColumn(rank, F.col(base) + F.row_number().over(inner) - 1)
+        .drop(base)
     )
 
 
@@ -115,10 +116,11 @@ def labelled_sample(
     """Rows of `docs` with their labels for at most `rows` labelled ids.
 
     The ids are the first by a hash, so the choice is the same on every run and
-    the broadcast table has a fixed bound.  Labels with a null id or label are
-    left out; of an id labelled twice the least labels count.
+    the broadcast table has a fixed bound.  Labels with a null id, or null in
+    all columns, are left out; of an id labelled twice the least labels count.
     """
-    known = labels.select(F.col(id_col).alias("_id"), *[F.col(c).cast("int").alias(f"_y_{c}") for c in label_cols]).dropna()
+    known = labels.select(F.col(id_col).alias("_id"), *[F.col(c).cast("int").alias(f"_y_{c}") for c in label_cols])
+    known = known.dropna(subset=["_id"]).dropna("all", subset=[f"_y_{c}" for c in label_cols])
     known = known.groupBy("_id").agg(*[F.min(f"_y_{c}").alias(f"_y_{c}") for c in label_cols])
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(rows)
     return docs.join(F.broadcast(chosen), docs[id_col] == F.col("_id")).drop("_id")

@@ -215,10 +215,15 @@ def rule_column(rules: list[Rule]) -> Column:
 
 
 def learned_on(docs: DataFrame, labels: DataFrame, rows: int = 6000) -> list[Rule]:
-    """Rules for quality = 0 from at most `rows` labelled documents (a bounded sample, by hash)."""
+    """Rules for quality = 0 from at most `rows` labelled documents (a bounded sample, by hash).
+
+    Of different texts under one id the one of the least statistics counts, so
+    equal rows give equal rules in any order.
+    """
     sample = labelled_sample(docs.select("doc_id", "text"), labels, rows)
-    stats = with_stats(sample, ["doc_id", "_y_quality"]).dropDuplicates(["doc_id"]).drop("doc_id")
-    got = np.array(sorted(tuple(r) for r in stats.collect()), np.int64).reshape(-1, 10)
+    stats = with_stats(sample, ["doc_id", "_y_quality"])
+    least = stats.groupBy("doc_id").agg(F.min(F.struct("_y_quality", *BASE, *MORE)).alias("s")).select("s.*")
+    got = np.array(sorted(tuple(r) for r in least.collect()), np.int64).reshape(-1, 10)
     return learn_rules(feature_matrix(got[:, 1:]), got[:, 0] == 0) if len(got) else []
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import labelled_sample, write_table
+from .common import fresh, labelled_sample, write_table
 
 #: Chain order: category -> the label column and the value that means it.
 CATEGORIES = (("low_quality", "quality", 0), ("toxic", "toxic", 1))
@@ -127,19 +127,26 @@ def fit_chain(
 
     Folds go by position, so the caller gives rows in a fixed order.  The
     threshold of a category is the best one on its out-of-fold probabilities.
+    A negative value in `y` is no label: the row takes no part in that
+    category's models, and later ones get the probability of the full model.
     """
     chain, fold = Chain(tuple(names), vocabulary), np.arange(len(rows)) % FOLDS
     fed = dense
     for c in range(len(names)):
-        target, held = y[:, c].astype(float), np.zeros(len(rows))
+        known, target, held = y[:, c] >= 0, y[:, c] > 0, np.zeros(len(rows))
+
+        def fitted(at: np.ndarray, fed: np.ndarray = fed, target: np.ndarray = target) -> tuple[np.ndarray, np.ndarray]:
+            return fit_logistic([rows[i] for i in at], fed[at], target[at], len(vocabulary))
+
+        whole = fitted(np.flatnonzero(known))
         for f in range(FOLDS):
-            train, test = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-            if not len(train) or not len(test):
-                continue
-            model = fit_logistic([rows[i] for i in train], fed[train], target[train] > 0, len(vocabulary))
-            held[test] = _apply([rows[i] for i in test], fed[test], model)
-        chain.weights.append(fit_logistic(rows, fed, target > 0, len(vocabulary)))
-        chain.limits.append(best_limit(held, y[:, c] > 0))
+            train, test = np.flatnonzero(known & (fold != f)), np.flatnonzero(known & (fold == f))
+            if len(train) and len(test):
+                held[test] = _apply([rows[i] for i in test], fed[test], fitted(train))
+        rest = np.flatnonzero(~known)
+        held[rest] = _apply([rows[i] for i in rest], fed[rest], whole)
+        chain.weights.append(whole)
+        chain.limits.append(best_limit(held[known], target[known]))
         fed = np.concatenate([fed, held[:, None]], axis=1)
     return chain
 
@@ -159,12 +166,14 @@ def choose_terms(sample: DataFrame, per_category: int = TERMS) -> dict[str, int]
 
     cut_rows = sample.select("text", *flags).mapInArrow(cut, "terms array<string>, " + ", ".join(f"{c} int" for c in flags))
     counted = cut_rows.select(F.explode("terms").alias("term"), *flags).groupBy("term")
-    counted = write_table(counted.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in flags]).filter("n >= 3"), "toxicity-terms")
-    total, *ones = sample.agg(F.count(F.lit(1)), *[F.sum(c) for c in flags]).first()
+    sums = [x for c in flags for x in (F.coalesce(F.sum(c), F.lit(0)).alias(c), F.count(c).alias(f"n_{c}"))]
+    counted = write_table(counted.agg(F.count(F.lit(1)).alias("n"), *sums).filter("n >= 3"), "toxicity-terms")
+    totals = sample.agg(*sums).first()
     chosen: set[str] = set()
-    for c, one in zip(flags, ones, strict=True):
-        one, zero = max(1, one or 0), max(1, total - (one or 0))
-        gap = F.abs(F.col(c) / one - (F.col("n") - F.col(c)) / zero) / F.sqrt((F.col("n") + 1) / total)
+    for c in flags:
+        total, one = max(1, totals[f"n_{c}"]), totals[c]
+        one, zero = max(1, one), max(1, total - one)
+        gap = F.abs(F.col(c) / one - (F.col(f"n_{c}") - F.col(c)) / zero) / F.sqrt((F.col(f"n_{c}") + 1) / total)
         top = counted.orderBy(gap.desc(), "term").limit(per_category)
         chosen.update(r[0] for r in top.select("term").collect())
     return {t: i for i, t in enumerate(sorted(chosen))}
@@ -173,10 +182,18 @@ def choose_terms(sample: DataFrame, per_category: int = TERMS) -> dict[str, int]
 def learned_on(
     docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str, str, int]] = CATEGORIES, rows: int = SAMPLE
 ) -> Chain:
-    """Fit the chain on at most `rows` labelled documents of `docs` (a bounded sample, by hash)."""
+    """Fit the chain on at most `rows` labelled documents of `docs` (a bounded sample, by hash).
+
+    A row labelled for some categories alone counts for those.  Of different
+    texts under one id the least counts, and of equal texts the labels of the
+    least id, so equal rows give equal models in any order.
+    """
     sample = labelled_sample(docs.select("doc_id", "text"), labels, rows, label_cols=sorted({c for _, c, _ in categories}))
     flags = [(F.col(f"_y_{c}") == v).cast("int").alias(f"y{i}") for i, (_, c, v) in enumerate(categories)]
-    sample = sample.dropDuplicates(["doc_id"]).dropDuplicates(["text"]).select("doc_id", F.col("text").cast("string").alias("text"), *flags)
+    names = [f"y{i}" for i in range(len(flags))]
+    sample = sample.select("doc_id", F.col("text").cast("string").alias("text"), *flags)
+    sample = sample.groupBy("doc_id").agg(F.min("text").alias("text"), *[F.min(c).alias(c) for c in names])
+    sample = sample.groupBy("text").agg(F.min(F.struct("doc_id", *names)).alias("s")).select("s.doc_id", "text", *[f"s.{c}" for c in names])
     sample = write_table(sample, "toxicity-sample")
     vocabulary = choose_terms(sample.drop("doc_id"))
     chain, n_flags = Chain(tuple(n for n, _, _ in categories), vocabulary), len(flags)
@@ -194,7 +211,7 @@ def learned_on(
     got = sorted(sample.mapInArrow(numbered, schema).collect(), key=lambda r: r[0])  # numbers only, of `rows` rows
     terms = [np.array(r[1], np.int64) for r in got]
     dense = np.array([r[2] for r in got], float).reshape(-1, DENSE)
-    y = np.array([r[3:] for r in got], np.int64).reshape(-1, len(categories))
+    y = np.array([[-1 if v is None else v for v in r[3:]] for r in got], np.int64).reshape(-1, len(categories))
     return fit_chain(chain.names, vocabulary, terms, dense, y)
 
 
@@ -205,7 +222,7 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
     of one of these names is replaced); an empty table gives an empty result.
     """
     probabilities = [f"p_{n}" for n in chain.names]
-    kept = [c for c in docs.columns if c not in {*probabilities, *[f"is_{n}" for n in chain.names]}]
+    kept = [c for c in docs.columns if c == text_col or c not in {*probabilities, *[f"is_{n}" for n in chain.names]}]
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,8 +244,15 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of `docs` that the chain does not find toxic, with the columns of `docs`."""
-    return score(docs, learned_on(docs, labels)).filter(~F.col("is_toxic")).select(*docs.columns)
+    """Rows of `docs` that the chain does not find toxic, with the columns of `docs`.
+
+    Null and empty texts are scored as empty; equal texts go or stay together;
+    an empty table gives an empty result; without labels every row stays.
+    """
+    chain = learned_on(docs, labels)
+    (taken,) = fresh(docs, "_row")  # a user's column may have the name of a verdict
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(taken), F.col("text").cast("string").alias("text"))
+    return score(rows, chain).filter(~F.col("is_toxic")).select(f"{taken}.*")
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -144,6 +144,41 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_packing_keeps_other_columns(spark):
+    rows = [(None, i % 9, i, i + 1, i + 2, "u") for i in range(300)] + [(1, 3, 5, 5, 5, "v")] * 40
+    table = spark.createDataFrame(rows, "doc_id long, n long, _len int, _h int, _below int, bucket string")
+    got = packing.pack(table, "n", k=3, budget=60).collect()
+    assert Counter((r.doc_id, r.n, r._len, r._h, r._below) for r in got) == Counter(r[:5] for r in rows)
+    assert len({(r.bucket, r.batch, r.slot) for r in got}) == len(rows)
+
+
+def test_shards_on_disk(spark, tmp_path):
+    table = spark.createDataFrame([(i, f"text {i}", f"s{i % 3}", "old") for i in range(50)], "doc_id long, text string, source string, shard string")
+    sharding.write_shards(table, sharding.interleave(table, 4), f"{tmp_path}/shards")
+    got = spark.read.parquet(f"{tmp_path}/shards")
+    assert got.groupBy("shard").count().filter("count between 12 and 13").count() == 4 and got.select("doc_id").distinct().count() == 50
+
+
+def test_learning_does_not_depend_on_order(spark):
+    rng = np.random.default_rng(13)
+    rows = [(int(rng.integers(0, 80)), " ".join(rng.choice(["a", "bad", "word", "####", "more", f"w{i}"], 30))) for i in range(300)] + [(9, None), (None, "x")]
+    marks = [(i, None if i % 11 == 0 else i % 2, None if i % 13 == 0 else int(i % 5 == 0)) for i in range(80)] + [(3, 1, 1), (5, None, None)]
+    marks = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    chains, lists = [], []
+    for seed, parts in ((1, 1), (2, 4)):
+        order = np.random.default_rng(seed).permutation(len(rows))
+        table = spark.createDataFrame([rows[i] for i in order], "doc_id long, text string").repartition(parts)
+        chains.append(toxicity.learned_on(table, marks))
+        lists.append(quality_rules.learned_on(table, marks))
+    one, two = chains
+    assert one.vocabulary == two.vocabulary and one.limits == two.limits and lists[0] == lists[1]
+    assert all((a == b).all() for x, y in zip(one.weights, two.weights, strict=True) for a, b in zip(x, y, strict=True))
+    clash = toxicity.drop_toxic(table.withColumn("is_toxic", F.lit("mine")), marks)
+    assert clash.columns == ["doc_id", "text", "is_toxic"] and all(r.is_toxic == "mine" for r in clash.collect())
+    toxic_only = toxicity.learned_on(table, marks.withColumn("quality", F.lit(None).cast("int")))
+    assert toxic_only.limits[0] > 1 and toxic_only.limits[1] < 1
+
+
 def test_tokens_round_trip(docs, empty, spark, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
