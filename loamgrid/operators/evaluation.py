@@ -36,9 +36,9 @@ def results(predicted: DataFrame, truth: DataFrame, ranks: DataFrame, cells: Dat
     """
     points = cells.select("cell", "clat", "clon", "n_docs")
     joined = truth.join(predicted.select("doc", F.col("cell").alias("pred_cell")), "doc").join(ranks.select("doc", "correct_rank"), "doc")
-    p = F.broadcast(points.select(F.col("cell").alias("pred_cell"), F.col("clat").alias("pred_lat"), F.col("clon").alias("pred_lon")))
+    p = points.select(F.col("cell").alias("pred_cell"), F.col("clat").alias("pred_lat"), F.col("clon").alias("pred_lon"))
     c = points.select(F.col("cell").alias("correct_cell"), F.col("clat").alias("own_lat"), F.col("clon").alias("own_lon"), F.col("n_docs").alias("own_docs"))
-    joined = joined.join(p, "pred_cell").join(F.broadcast(c), "correct_cell", "left")
+    joined = joined.join(p, "pred_cell").join(c, "correct_cell", "left")
     lat, lon = F.col("lat"), F.col("lon")
     return joined.withColumns(
         {
@@ -74,7 +74,7 @@ def accuracy_at(ranks: DataFrame, at: Sequence[int] = RANKS) -> DataFrame:
 
 def oracle_in_top(ranked: DataFrame, truth: DataFrame, cells: DataFrame) -> DataFrame:
     """(doc, rank, km, best_km): the least distance among the cells up to each rank."""
-    joined = ranked.join(truth.select("doc", "lat", "lon"), "doc").join(F.broadcast(cells.select("cell", "clat", "clon")), "cell")
+    joined = ranked.join(truth.select("doc", "lat", "lon"), "doc").join(cells.select("cell", "clat", "clon"), "cell")
     joined = joined.withColumn("km", distance_km(F.col("lat"), F.col("lon"), F.col("clat"), F.col("clon")))
     upto = Window.partitionBy("doc").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return joined.select("doc", "rank", "km", F.min("km").over(upto).alias("best_km"))

@@ -6,8 +6,8 @@ and cell, plus corrections for the words that both hold: one join on the gram
 and one aggregate by (document, cell).  Nothing is computed for the many
 (document, cell, word) triples in which the word is missing.
 
-The scalars of all cells are broadcast: a grid has at most (180 / degrees) *
-(360 / degrees) cells, whatever the number of documents.
+Scalars of cells are broadcast only while there are at most FEW_CELLS of them:
+those of a K-d tree grow with the documents.
 """
 
 from __future__ import annotations
@@ -38,6 +38,15 @@ RANKERS = (
 PRIORS = ("uniform", "num-docs", "log-num-docs", "salience", "log-salience")
 
 
+#: Most cells that are broadcast, about 150 bytes each.
+FEW_CELLS = 200_000
+
+
+def if_few(rows: DataFrame, cells: DataFrame) -> DataFrame:
+    """`rows`, of which each cell has one at most, marked for a broadcast if the cells are few."""
+    return F.broadcast(rows) if cells.select("cell").limit(FEW_CELLS + 1).count() <= FEW_CELLS else rows
+
+
 def prior(kind: str) -> Column:
     """Unnormalized prior of a cell with `n_docs` and `salience`."""
     if kind == "uniform":
@@ -84,7 +93,7 @@ def scores(
     words = words.join(global_stats.select("gram", "g"), "gram", "left").withColumns({"p": p, "p0": c * (1 - ud) / nd})
     # words of the cells, with the cell's
     q = probability(F.col("ck"), nk, uk, g, F.col("bk"), mixed)
-    held = cell_grams.select("cell", "gram", F.col("cnt").alias("ck")).join(F.broadcast(cell_sums), "cell")
+    held = cell_grams.select("cell", "gram", F.col("cnt").alias("ck")).join(cell_sums, "cell")
     held = held.join(global_stats.select("gram", "g"), "gram").withColumn("q", q)
     held = held.withColumn("q0", F.col("ck") * (1 - uk) / nk)  # without a share of g
     cell_scalars = held.groupBy("cell").agg(
@@ -163,7 +172,7 @@ def scores(
         F.sum("q").alias("r_q"),
     )
     sums = [x for x in both.columns if x not in ("doc", "cell")]
-    pairs = doc_side.join(F.broadcast(cell_side)).join(both, ["doc", "cell"], "left").fillna(0.0, sums)
+    pairs = doc_side.crossJoin(if_few(cell_side, cells)).join(both, ["doc", "cell"], "left").fillna(0.0, sums)
 
     v = {x: F.col(x) for x in pairs.columns}
     ln_rest = F.when(rk > 0, F.ln(F.when(rk > 0, rk).otherwise(1.0))).otherwise(0.0)
@@ -224,19 +233,19 @@ def restricted(scored: DataFrame, inside: Column) -> DataFrame:
 
 def popularity(docs: DataFrame, cells: DataFrame, by: str = "n_docs") -> DataFrame:
     """Baseline: every document gets the cells' number of documents, or salience, as score."""
-    return docs.select("doc").join(F.broadcast(cells.select("cell", F.col(by).cast("double").alias("score"))))
+    return docs.select("doc").crossJoin(if_few(cells.select("cell", F.col(by).cast("double").alias("score")), cells))
 
 
 def shuffled(docs: DataFrame, cells: DataFrame, seed: int = 0) -> DataFrame:
     """Baseline: a random order of the cells, seeded by document and cell; all scores are 0."""
-    pairs = docs.select("doc").join(F.broadcast(cells.select("cell")))
+    pairs = docs.select("doc").crossJoin(if_few(cells.select("cell"), cells))
     order = Window.partitionBy("doc").orderBy(F.xxhash64(F.lit(seed), "doc", "cell"), "cell")
     return pairs.withColumns({"score": F.lit(0.0), "rank": F.row_number().over(order)})
 
 
 def cell_distribution(cell_grams: DataFrame, sums: DataFrame, global_stats: DataFrame, smoothing: Smoothing) -> DataFrame:
     """(gram, cell, prob): for each gram the cells that hold it, by their share of its probability."""
-    joined = cell_grams.join(F.broadcast(sums), "cell").join(global_stats.select("gram", "g"), "gram")
+    joined = cell_grams.join(sums, "cell").join(global_stats.select("gram", "g"), "gram")
     p = probability(F.col("cnt"), F.col("total"), F.col("u"), F.col("g"), F.col("big_u"), smoothing.interpolate)
     joined = joined.select("gram", "cell", p.alias("p"))
     whole = F.sum("p").over(Window.partitionBy("gram"))

@@ -92,7 +92,7 @@ def word_properties(cell_grams: DataFrame, cell: str = "cell") -> DataFrame:
     """
     cells = cell_grams.groupBy(cell).agg(F.sum("cnt").alias("nk"))
     whole = cells.agg(F.sum("nk").alias("t"), F.sum(_x_ln_x(F.col("nk").cast("double"))).alias("sk"))  # one row
-    joined = cell_grams.join(F.broadcast(cells), cell)  # a row per cell of the grid
+    joined = cell_grams.join(cells, cell)
     x, k = F.col("cnt").cast("double"), F.col("nk").cast("double")
     sums = joined.groupBy("gram").agg(
         F.sum("cnt").alias("n"),

@@ -30,7 +30,7 @@ class Corpus:
         self.doc_grams = written(grams, "doc-grams")
         self.global_stats = written(global_probs(self.doc_grams, id_col), "global")
         self.cell_grams = written(merged(self.doc_grams, ["cell"]), "cell-grams")
-        self.cells = accumulate(rows, ["cell"], id_col, "n_chars" if "n_chars" in docs.columns else None)
+        self.cells = written(accumulate(rows, ["cell"], id_col, "n_chars" if "n_chars" in docs.columns else None), "cells")
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
