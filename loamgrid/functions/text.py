@@ -113,20 +113,25 @@ def decode_word(word: Column) -> Column:
     return _decode(word, {":": "%3A", " ": "%20"})
 
 
+#: A null item, and a list of one empty item (nothing is the empty list); encoded text holds neither.
+_NO_ITEM, _EMPTY_ITEM = "%N", "%E"
+
+
 def encode_sequence(items: Column) -> Column:
-    return F.array_join(F.transform(items, lambda x: _encode(x, {">": "%3E"})), ">>")
+    shown = F.transform(items, lambda x: F.coalesce(_encode(x, {">": "%3E"}), F.lit(_NO_ITEM)))
+    return F.when((F.size(items) == 1) & (F.get(items, F.lit(0)) == ""), _EMPTY_ITEM).otherwise(F.array_join(shown, ">>"))
 
 
 def decode_sequence(text: Column) -> Column:
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(
-        F.transform(F.split(text, ">>"), lambda x: _decode(x, {">": "%3E"}))
-    )
+    parts = F.transform(F.split(text, ">>", -1), lambda x: _decode(F.nullif(x, F.lit(_NO_ITEM)), {">": "%3E"}))
+    return F.when(text == "", F.array().cast("array<string>")).when(text == _EMPTY_ITEM, F.array(F.lit(""))).otherwise(parts)
 
 
 def encode_counts(counts: Column) -> Column:
-    """`word:count` pairs of a map, the greatest count first, then by word."""
+    """`word:count` pairs of a map, the greatest count first, then by word; a null count is empty."""
     pairs = F.transform(F.map_entries(counts), lambda e: F.struct((-e["value"]).alias("n"), e["key"].alias("w")))
-    return F.array_join(F.transform(F.array_sort(pairs), lambda p: F.concat(encode_word(p["w"]), F.lit(":"), (-p["n"]).cast("string"))), " ")
+    count = lambda p: F.coalesce((-p["n"]).cast("string"), F.lit(""))
+    return F.array_join(F.transform(F.array_sort(pairs), lambda p: F.concat(encode_word(p["w"]), F.lit(":"), count(p))), " ")
 
 
 def decode_counts(text: Column) -> Column:

@@ -86,7 +86,7 @@ def overlapping_cells(spark, sf_dir):
     return grids.accumulate(docs, ["row", "col"], "doc_id").select("row", "col", "n_docs", *r6("clat", "clon"))
 
 
-@query()
+@query(sql.kd_leaves("customer", "c_custkey", 200, 400))
 def kd_cells(spark, sf_dir):
     """Leaves of a K-d tree over all customers, split at the median, and of its cut at 400 points."""
     points = placed(table(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", "lat", "lon")
@@ -281,11 +281,17 @@ def word_cell_distribution(spark, sf_dir):
 def mean_shift_coordinates(spark, sf_dir):
     """Place of each item by mean shift over the centroids of its ten best cells."""
     corpus, ranked, _, _ = geolocate(spark, sf_dir)
-    points = ranked.filter("rank <= 10").join(F.broadcast(corpus.cells), "cell").select("doc", F.col("clat").alias("lat"), F.col("clon").alias("lon"))
+    points = ranked.filter("rank <= 10").join(corpus.cells, "cell").select("doc", F.col("clat").alias("lat"), F.col("clon").alias("lon"))
     return ranking.mean_shift(points, window=2000.0)
 
 
-@query()
+@query(f"""WITH coarse AS (WITH {sql.NAIVE_BAYES} SELECT doc, cell, score FROM scored), fine AS (WITH {sql.naive_bayes(15)} SELECT doc, cell, score FROM scored),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY round(score, 6) DESC, cell) AS place FROM coarse),
+c AS (SELECT doc, f.cell, b.cell AS parent, f.score + b.score AS score FROM fine f JOIN b USING (doc)
+  WHERE b.place <= 10 AND b.cell = concat(CAST(floor(split_part(f.cell, ',', 1)::INT / 2.0) AS INT), ',', CAST(floor(split_part(f.cell, ',', 2)::INT / 2.0) AS INT))),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc, parent ORDER BY round(score, 6) DESC, cell) AS place FROM c),
+r AS (SELECT doc, cell, score, row_number() OVER (PARTITION BY doc ORDER BY round(score, 6) DESC, cell) AS rank FROM k WHERE place = 1)
+SELECT doc, cell, round(score, 6) AS score, rank FROM r WHERE rank <= 10""")
 def hierarchical_ranking(spark, sf_dir):
     """Cells of 30, then 15 degrees by beam search."""
     coarse, fine = RegularGrid(30.0), RegularGrid(15.0)
@@ -298,10 +304,17 @@ def hierarchical_ranking(spark, sf_dir):
     at = F.split("cell", ",")
     up = coarse.parent(at[0].cast("int"), at[1].cast("int"))
     levels[1] = levels[1].withColumn("parent", F.concat_ws(",", *[x.cast("string") for x in up]))
-    return ranking.beam_search([written(x, "level") for x in levels])
+    found = ranking.beam_search([written(x, "level") for x in levels])
+    return found.select("doc", "cell", *r6("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+@query(f"""WITH {sql.NAIVE_BAYES},
+dn AS (SELECT doc, sum(pow(cnt / nd, 2)) AS dn2 FROM t JOIN td USING (doc) GROUP BY doc), kn2 AS (SELECT cell, sum(pow(ck / nk, 2)) AS kn2 FROM cg JOIN ct USING (cell) GROUP BY cell),
+dots AS (SELECT t.doc, cg.cell, sum(t.cnt / nd * ck / nk) AS dot FROM t JOIN cg USING (gram) JOIN td ON td.doc = t.doc JOIN ct ON ct.cell = cg.cell GROUP BY ALL),
+w AS (SELECT r.doc, r.cell, r.score, r.rank, coalesce(dot / sqrt(dn2 * kn2), 0) AS cosine FROM ranked r JOIN dn USING (doc) JOIN kn2 ON kn2.cell = r.cell LEFT JOIN dots ON dots.doc = r.doc AND dots.cell = r.cell),
+a AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY rank > 10, CASE WHEN rank <= 10 THEN cosine ELSE score END DESC, cell) AS new_rank FROM w),
+m AS (SELECT a.*, a.cell = i.cell AS correct, bool_or(a.cell = i.cell AND rank <= 10) OVER (PARTITION BY a.doc) AS inside, bool_or(a.cell = i.cell) OVER (PARTITION BY a.doc) AS known FROM a JOIN items i ON i.doc = a.doc)
+SELECT doc, cell, round(score, 6) AS score, rank, correct, new_rank FROM m WHERE correct OR rank <= CASE WHEN inside OR NOT known THEN 10 ELSE 9 END""")
 def rerank_training_set(spark, sf_dir):
     """The ten best cells of each item with the correct one among them, and their new order by cosine."""
     corpus, scored, truth = score_items(spark, sf_dir, ["naive-bayes", "full-cosine-similarity"])
@@ -309,7 +322,8 @@ def rerank_training_set(spark, sf_dir):
     fresh = ranked.filter("rank <= 10").select("doc", "cell", F.col("full_cosine_similarity").alias("new_score"))
     again = ranking.rerank(ranked.select("doc", "cell", "score", "rank"), fresh)
     train = learning.rerank_training(ranked, truth)
-    return train.join(again.select("doc", "cell", F.col("rank").alias("new_rank")), ["doc", "cell"])
+    placed_again = again.select("doc", "cell", F.col("rank").cast("long").alias("new_rank"))
+    return train.join(placed_again, ["doc", "cell"]).select("doc", "cell", *r6("score"), F.col("rank").cast("long").alias("rank"), "correct", "new_rank")
 
 
 @query()
@@ -558,7 +572,7 @@ def spatial_autocorrelation(spark, sf_dir):
     docs = grids.with_cells(placed(table(spark, sf_dir, "documents"), "doc_id"), RegularGrid(30.0))
     grams = written(models.gram_counts(docs, ["row", "col"], words(F.col("text"))), "cell-grams")
     sums = grams.groupBy("row", "col").agg(F.sum("cnt").alias("nk"))
-    probs = grams.join(F.broadcast(sums), ["row", "col"]).select("row", "col", "gram", (F.col("cnt") / F.col("nk")).alias("p"))
+    probs = grams.join(sums, ["row", "col"]).select("row", "col", "gram", (F.col("cnt") / F.col("nk")).alias("p"))
     return wordstats.morans_i(probs).select("gram", "cells", F.round("mean", 9).alias("mean"), F.round("morans_i", 5).alias("morans_i"))
 
 
@@ -623,13 +637,14 @@ def round_robin_orders(spark, sf_dir):
     return rows.round_robin(table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], (8, 1, 1))
 
 
-@query("SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey, 'nations' AS corpus FROM nation")
+@query("""SELECT doc_id, text, nullif(lang, 'de') AS lang, replace(text, chr(10), '|') AS lines, 'documents' AS corpus FROM documents""")
 def table_round_trip(spark, sf_dir):
-    """A table written with its schema file and scanned again."""
-    base = scratch(spark, "textdb/nation")
-    n = table(spark, sf_dir, "nation")
-    textdb.write(n, base, textdb.Schema(list(n.columns), {"corpus": "nations"}))
-    return textdb.read_back(spark, base)
+    """All texts and lists of their lines, with tabs, line ends and nulls, written with a schema file and scanned again."""
+    base = scratch(spark, "textdb/documents")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.nullif("lang", F.lit("de")).alias("lang"), F.split("text", "\n", -1).alias("lines"))
+    textdb.write(d, base, textdb.Schema(list(d.columns), {"corpus": "documents"}))
+    back = textdb.read_back(spark, base, kinds={"doc_id": "long", "lines": "sequence"})
+    return back.withColumn("lines", F.array_join("lines", "|"))
 
 
 @query(f"""WITH s AS (SELECT doc_id AS doc, source AS slice, text FROM documents), g AS ({sql.grams("s", "doc")}),

@@ -38,7 +38,8 @@ def km(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     return KM.format(lat1, lon1, lat2, lon2)
 
 
-NAIVE_BAYES = f"""{corpus(30, 1000)},
+def naive_bayes(degrees: int) -> str:
+    return f"""{corpus(degrees, 1000)},
 kn AS (SELECT doc, t.gram, t.cnt AS c, g FROM t JOIN gg USING (gram)),
 pairs AS (SELECT doc, cell, sum(c * ln(coalesce(ck, 0) * (1 - uk) / nk + uk * g)) AS s
   FROM kn CROSS JOIN ct LEFT JOIN cg USING (cell, gram) GROUP BY ALL),
@@ -50,3 +51,25 @@ res AS (
     CASE WHEN o.cell IS NOT NULL THEN {km("i.lat", "i.lon", "o.clat", "o.clon")} END AS oracle_km
   FROM items i JOIN ranked r ON i.doc = r.doc AND r.rank = 1 JOIN cells p ON p.cell = r.cell
   LEFT JOIN ranked k ON k.doc = i.doc AND k.cell = i.cell LEFT JOIN cells o ON o.cell = i.cell)"""
+
+
+NAIVE_BAYES = naive_bayes(30)
+
+
+def kd_leaves(source: str, key: str, bucket: int, cutoff: int, levels: int = 24) -> str:
+    """Leaf and coarse leaf of each point of a K-d tree split at medians, one step of the recursion a level."""
+    steps = f"""
+WITH RECURSIVE p AS (SELECT {key}, lat, lon FROM (SELECT {key}, {placed_sql(key)} FROM {source})),
+t AS (
+  SELECT {key}, lat, lon, '' AS path, true AS live, '' AS coarse, true AS whole, 0 AS level FROM p
+  UNION ALL
+  SELECT {key}, lat, lon, CASE WHEN big THEN path || side ELSE path END, big, CASE WHEN whole AND big AND n > {cutoff} THEN coarse || side ELSE coarse END,
+    whole AND big AND n > {cutoff}, level + 1
+  FROM (
+    SELECT *, CASE WHEN v <= CASE WHEN middle < hi THEN middle ELSE lo END THEN 'L' ELSE 'R' END AS side, n > {bucket} AND lo < hi AS big
+    FROM (SELECT *, min(v) OVER (PARTITION BY path) AS lo, max(v) OVER (PARTITION BY path) AS hi, quantile_cont(v, 0.5) OVER (PARTITION BY path) AS middle
+      FROM (SELECT *, CASE WHEN wide > high THEN lon ELSE lat END AS v
+        FROM (SELECT *, count(*) OVER (PARTITION BY path) AS n, max(lon) OVER (PARTITION BY path) - min(lon) OVER (PARTITION BY path) AS wide,
+          max(lat) OVER (PARTITION BY path) - min(lat) OVER (PARTITION BY path) AS high FROM t WHERE live AND level < {levels}))))
+  )"""
+    return f"{steps}\nSELECT {key}, path AS leaf, coarse FROM t WHERE NOT live"

@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import blank_as_null, decode_counts, decode_field, decode_sequence, encode_counts, encode_field, encode_sequence
 from ..functions.geo import parse_coordinate, valid_coordinate
@@ -68,14 +69,14 @@ def is_folder(spark: SparkSession, path: str) -> bool:
 
 
 def list_files(spark: SparkSession, path: str) -> list[str]:
-    """Files under a folder, or those whose names begin with the path; sorted."""
+    """Files and data folders under a folder, or those whose names begin with the path; sorted."""
     at, fs = _fs(spark, path)
     if fs.exists(at) and fs.getFileStatus(at).isDirectory():
         found = fs.listStatus(at)
     else:
         glob, fs = _fs(spark, path + "*")
         found = fs.globStatus(glob) or []
-    return sorted(str(f.getPath()) for f in found if not f.isDirectory())
+    return sorted(str(f.getPath()) for f in found if not f.isDirectory() or f.getPath().getName().endswith(DATA))
 
 
 def read_small(spark: SparkSession, path: str) -> str:
@@ -108,12 +109,13 @@ def find(spark: SparkSession, base: str, suffix: str = "") -> tuple[str, list[st
 def scan(spark: SparkSession, base: str, suffix: str = "", with_rejects: bool = False):
     """Rows of a table, all fields as text, with the fixed fields as constant columns.
 
-    Lines with another number of fields go; with_rejects also returns them, as
-    (file, line), so that they can be counted or kept.
+    Data may be files or the folders that `write` makes.  Lines with another
+    number of fields go; with_rejects also returns them, as (file, line), so
+    that they can be counted or kept.
     """
     schema_file, data = find(spark, base, suffix)
     schema = Schema.parse(read_small(spark, schema_file))
-    lines = spark.read.text(data).select("value", F.col("_metadata.file_path").alias("src_file"))
+    lines = spark.read.text(data, lineSep="\n").select(F.regexp_replace("value", "\r$", "").alias("value"), F.col("_metadata.file_path").alias("src_file"))
     parts = F.split("value", "\t", -1)
     good = F.size(parts) == len(schema.names)
     rows = lines.filter(good).select(
@@ -124,15 +126,39 @@ def scan(spark: SparkSession, base: str, suffix: str = "", with_rejects: bool =
     return rows, lines.filter(~good).select("src_file", F.col("value").alias("line"))
 
 
+#: What a null is written as; no encoded value holds it, for a percent sign is written as %25.
+NULL = "%NULL"
+
+
+def kind_of(data_type: T.DataType) -> str | None:
+    """The codec that `write` uses for a column of this type; None: its text as Spark casts it."""
+    if isinstance(data_type, T.StringType):
+        return "string"
+    if isinstance(data_type, T.ArrayType) and isinstance(data_type.elementType, T.StringType):
+        return "sequence"
+    if isinstance(data_type, T.MapType) and isinstance(data_type.keyType, T.StringType) and isinstance(data_type.valueType, T.IntegralType):
+        return "counts"
+    if isinstance(data_type, (T.ArrayType, T.MapType, T.StructType, T.BinaryType)):
+        raise ValueError(f"a table of text can't hold {data_type.simpleString()}")
+    return None
+
+
 def write(rows: DataFrame, base: str, schema: Schema | None = None, suffix: str = "", compression: str | None = None) -> None:
     """Write a table: data as a folder of part files `BASE.data.txt/`, the schema beside it.
 
-    Values are written as they are; encode them with the functions of `codecs`.
-    Columns that the schema fixes are left out.
+    Each value is encoded by the type of its column (`kind_of`), so tabs, line
+    ends and percent signs survive; nulls are written as NULL.  Pass values as
+    they are, not those of `encoded`.  Columns that the schema fixes are left
+    out.  `read_back` undoes it; `scan` gives the encoded text.
     """
     schema = schema or Schema(list(rows.columns))
-    line = F.concat_ws("\t", *[F.coalesce(F.col(n).cast("string"), F.lit("")) for n in schema.names])
-    writer = rows.select(line.alias("value")).write
+    types = {f.name: f.dataType for f in rows.schema.fields}
+
+    def shown(name: str) -> Column:
+        kind, at = kind_of(types[name]), raw_column(name)
+        return F.coalesce(CODECS[kind][0](at) if kind else at.cast("string"), F.lit(NULL))
+
+    writer = rows.select(F.concat_ws("\t", *[shown(n) for n in schema.names]).alias("value")).write
     if compression:
         writer = writer.option("compression", compression)
     path = f"{base}{suffix}"
@@ -140,12 +166,22 @@ def write(rows: DataFrame, base: str, schema: Schema | None = None, suffix: str
     write_small(rows.sparkSession, f"{path}{SCHEMA}", schema.show())
 
 
-def read_back(spark: SparkSession, base: str, suffix: str = "") -> DataFrame:
-    """A table as `write` leaves it."""
-    schema = Schema.parse(read_small(spark, f"{base}{suffix}{SCHEMA}"))
-    parts = F.split("value", "\t", -1)
-    lines = spark.read.text(f"{base}{suffix}{DATA}").filter(F.size(parts) == len(schema.names))
-    return lines.select(*[parts[i].alias(n) for i, n in enumerate(schema.names)], *[F.lit(v).alias(k) for k, v in schema.fixed.items() if k not in schema.names])
+def read_back(spark: SparkSession, base: str, suffix: str = "", kinds: dict[str, str] | None = None, with_rejects: bool = False):
+    """A table of `write`, scanned and decoded: by `kinds` where a field has one there, else as a string.
+
+    NULL is null again, of any kind.  Lines that do not fit are returned too,
+    as `scan` does, if with_rejects.
+    """
+    rows, rejects = scan(spark, base, suffix, with_rejects=True)
+    fixed = Schema.parse(read_small(spark, find(spark, base, suffix)[0])).fixed
+    out = []
+    for name in rows.columns:
+        at = raw_column(name)
+        if name not in fixed:
+            at = CODECS[(kinds or {}).get(name, "string")][1](F.nullif(at, F.lit(NULL)))
+        out.append(at.alias(name))
+    rows = rows.select(*out)
+    return (rows, rejects) if with_rejects else rows
 
 
 #: Codecs by kind: (to text, from text).

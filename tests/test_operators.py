@@ -343,9 +343,23 @@ def test_table_files(spark, tmp_path):
     with pytest.raises(ValueError):
         textdb.find(spark, str(tmp_path), "-dev")
     base = str(tmp_path / "out" / "again")
-    textdb.write(textdb.encoded(good.select("title", "unigram-counts"), {"unigram-counts": "counts"}), base, textdb.Schema(["title", "unigram-counts"], {"n": "2"}), compression="gzip")
-    back = textdb.read_back(spark, base)
-    assert {(r.title, r["unigram-counts"], r.n) for r in back.collect()} == {("Alpha", "river:3 bridge:1", "2"), ("Beta, Gamma", "fog:2 a%3Ab:1", "2")}
+    textdb.write(good.select("title", "unigram-counts"), base, textdb.Schema(["title", "unigram-counts"], {"n": "2"}), compression="gzip")
+    back = textdb.read_back(spark, base, kinds={"unigram-counts": "counts"})
+    assert {r.title: (r["unigram-counts"], r.n) for r in back.collect()} == {"Alpha": ({"river": 3, "bridge": 1}, "2"), "Beta, Gamma": ({"fog": 2, "a:b": 1}, "2")}
+
+
+def test_written_tables_come_back_whole(spark, tmp_path):
+    values = [("a\tb", ["x>>y", "\t"], 1), ("line\nend\r\n", [], None), (None, None, 3), ("", [""], 4), ("%NULL", ["%N"], 5), ("n", [None], 8), ("m", ["", None, "x", ""], 9), ("100%25 %09", ["50%"], 6), ("long " * 20_000, ["é"], 7), ("a\tb", ["x>>y", "\t"], 1)]
+    base = str(tmp_path / "all")
+    textdb.write(spark.createDataFrame(values, "a string, b array<string>, `c.d` int"), base, suffix="-dev")
+    raw, bad = textdb.scan(spark, base, "-dev", with_rejects=True)
+    assert (raw.count(), bad.count()) == (len(values), 0)
+    back = textdb.read_back(spark, base, "-dev", {"b": "sequence", "c.d": "int"})
+    assert sorted(map(repr, map(tuple, back.collect()))) == sorted(map(repr, values))
+    textdb.write(spark.createDataFrame([], "a string"), str(tmp_path / "none"))
+    assert textdb.read_back(spark, str(tmp_path / "none")).columns == ["a"]
+    with pytest.raises(ValueError):
+        textdb.write(spark.createDataFrame([((1,),)], "a struct<b: int>"), str(tmp_path / "struct"))
 
 
 def test_output_fields():
