@@ -73,6 +73,25 @@ def ngrams(tokens: Column, longest: int, shortest: int = 1) -> Column:
     return F.flatten(F.array(*[of(n) for n in range(shortest, longest + 1)]))
 
 
+def tag_ngrams(tag: Column, longest: int) -> Column:
+    """n-grams of 1 to `longest` words of a tag, shorter ones first, each an array.
+
+    Words lie between runs of white space and are normalized.  A tag with fewer
+    words than n gives all of its words as its one n-gram; a null tag gives null.
+    """
+    parts = F.transform(F.split(F.regexp_replace(tag, r"(?<=\S)\s+$", ""), r"\s+"), normalize_word)
+
+    def of(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - n + 1, F.lit(1))), lambda i: F.slice(parts, i, n))
+
+    return F.when(tag.isNotNull(), F.flatten(F.array(*[of(n) for n in range(1, longest + 1)])))
+
+
+def pretty_json(value: Column) -> Column:
+    """Struct, map or array as JSON over several lines."""
+    return F.to_json(value, {"pretty": "true"})
+
+
 def without_link_grams(grams: Column) -> Column:
     """Drop grams that start or end with a link or are links alone."""
     return F.filter(grams, lambda g: (g[0] != LINK) & (F.element_at(g, -1) != LINK))

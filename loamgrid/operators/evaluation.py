@@ -159,3 +159,13 @@ def log_results(lines: DataFrame, col: str = "value") -> DataFrame:
     pattern = r"(?i)\b(mean|median)\b[^=:0-9]*[=:]\s*([0-9]+(?:\.[0-9]+)?)"
     found = lines.filter(F.col(col).rlike(pattern))
     return found.select("file", F.lower(F.regexp_extract(col, pattern, 1)).alias("measure"), F.regexp_extract(col, pattern, 2).cast("double").alias("km"))
+
+
+#: Orders of a table of results; without one, the least average of mean and median comes first.
+RESULT_ORDERS = {"average": ("average_km", True), "mean": ("mean_km", True), "median": ("median_km", True), "accuracy": ("accuracy", False), "acc161": ("acc_161", False), "numeval": ("n_eval", False), "file": ("file", True)}
+
+
+def sorted_results(summaries: DataFrame, by: str = "average") -> DataFrame:
+    """Summaries of results files in one of RESULT_ORDERS, ties by file."""
+    col, up = RESULT_ORDERS[by]
+    return summaries.orderBy(F.col(col).asc() if up else F.col(col).desc(), "file")

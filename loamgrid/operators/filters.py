@@ -248,3 +248,8 @@ def carry_forward(rows: DataFrame, group: str, order: str, value: str) -> DataFr
     number = F.row_number().over(place)
     offset = F.when(F.col("_run") == 0, number - size - 1).otherwise(number - 1)
     return filled.withColumns({"offset": offset, value: F.coalesce("_seen", "_next")}).drop("_seen", "_next", "_run")
+
+
+def matching_text(rows: DataFrame, pattern: str, text: str = "text") -> DataFrame:
+    """Rows whose text has a match of the pattern anywhere; a null text has none."""
+    return rows.filter(F.col(text).rlike(pattern))

@@ -193,3 +193,12 @@ def most_common(grams: DataFrame, keys: Sequence[str], test: Column | None = Non
 def most_contributing(joined: DataFrame, score: Column, k: int) -> DataFrame:
     """The k grams with the greatest absolute contribution (a top-k report)."""
     return joined.withColumn("contribution", score).orderBy(F.abs("contribution").desc(), "gram").limit(k)
+
+
+def counts_once_per_user(docs: DataFrame, keys: Sequence[str], user: str, tokens: Column) -> DataFrame:
+    """(keys, gram, cnt): of each token the users that have it, so that one user's many documents count once.
+
+    Pairs are made distinct before they are counted; no set of users is held in memory.
+    """
+    pairs = docs.select(*keys, F.col(user).alias("_user"), F.explode(tokens).alias("gram")).filter("gram is not null")
+    return pairs.distinct().groupBy(*keys, "gram").agg(F.count(F.lit(1)).cast("double").alias("cnt"))

@@ -352,3 +352,27 @@ def unique_merge(lists: Sequence[DataFrame], key: str, order: str) -> DataFrame:
     both = reduce(DataFrame.unionByName, parts)
     first = both.groupBy("doc", key).agg(F.min("_o").alias("_o"))
     return first.withColumn("rank", F.row_number().over(Window.partitionBy("doc").orderBy("_o", key))).drop("_o")
+
+
+def rescaled(candidates: DataFrame, score: str = "score") -> DataFrame:
+    """Scores less the greatest score of their document, which becomes 0."""
+    most = candidates.groupBy("doc").agg(F.max(score).alias("_most"))
+    return candidates.join(most, "doc").withColumn(score, F.col(score) - F.col("_most")).drop("_most")
+
+
+def randomly_reranked(ranked: DataFrame, most: int, seed: int = 0) -> DataFrame:
+    """(doc, cell, rank): the first `most` cells of each document in an order of a hash, the others where they were.
+
+    The order depends on seed, document and cell alone, not on partitions.
+    """
+    shuffled = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc").cast("string"), "cell"))
+    top = ranked.filter(F.col("rank") <= most)
+    top = top.withColumn("rank", F.row_number().over(Window.partitionBy("doc").orderBy(shuffled, "cell")))
+    return top.select("doc", "cell", "rank").union(ranked.filter(F.col("rank") > most).select("doc", "cell", "rank"))
+
+
+def oracle_ranked(ranked: DataFrame, truth: DataFrame, cells: DataFrame) -> DataFrame:
+    """(doc, cell, score, rank): the correct cell alone with score 0, where it is a cell; the ranked cells of other documents."""
+    known = truth.select("doc", F.col("correct_cell").alias("cell")).join(cells.select("cell"), "cell")
+    right = known.select("doc", "cell", F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
+    return right.union(ranked.join(known, "doc", "left_anti").select("doc", "cell", "score", "rank"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -209,3 +209,15 @@ def with_positions(rows: DataFrame, order: Sequence[str], buckets: int = 64) ->
 def permuted(rows: DataFrame, key: str, seed: int = 0) -> DataFrame:
     """All rows in a seeded random order: a distributed sort by hash."""
     return rows.orderBy(F.xxhash64(F.lit(seed), key), key)
+
+
+def sorted_by(rows: DataFrame, value: str, most_first: bool = True) -> DataFrame:
+    """Table sorted by value, the greatest first, or the least; ties by all columns in their order."""
+    col = F.col(value)
+    return rows.orderBy(col.desc() if most_first else col.asc(), *rows.columns)
+
+
+def counted(rows: DataFrame, name: str, tests: dict[str, Column]) -> tuple[DataFrame, Observation]:
+    """The rows, and counters by name that are filled while an action reads them."""
+    seen = Observation(name)
+    return rows.observe(seen, *[F.count(F.when(test, 1)).alias(n) for n, test in tests.items()]), seen

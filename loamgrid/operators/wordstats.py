@@ -165,3 +165,28 @@ def canonical_tokens(text: Column, stopwords: Sequence[str] = ()) -> Column:
     plain = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "['’]", ""), r"[^\p{L}]+", " ")
     words = F.filter(F.split(plain, " "), lambda w: w != "")
     return F.filter(words, lambda w: ~w.isin(list(stopwords))) if stopwords else words
+
+
+def short_word_counts(lines: DataFrame, below: int = 8, col: str = "value") -> DataFrame:
+    """(word, cnt) of the pieces between single blanks that have fewer than `below` characters.
+
+    Two blanks hold an empty piece and an empty line is one; blanks at the end
+    of a line hold none.
+    """
+    cut = F.rtrim(F.col(col))
+    pieces = F.when((cut == "") & (F.col(col) != ""), F.array().cast("array<string>")).otherwise(F.split(cut, " "))
+    found = lines.select(F.explode(pieces).alias("word")).filter(F.length("word") < below)
+    return found.groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def differing_features(features: DataFrame, group: Sequence[str], vector: str, feature: str = "feature", value: str = "value") -> DataFrame:
+    """(group, feature) of the features that are not the same in all vectors of a group.
+
+    A feature is the same where it has one value and that is 0 or stands in
+    every vector; vectors are those with any feature.
+    """
+    one = features.select(*group, F.col(vector).alias("_v"), F.col(feature).alias("feature"), F.col(value).alias("_x"))
+    depth = one.groupBy(*group).agg(F.countDistinct("_v").alias("_depth"))
+    seen = one.groupBy(*group, "feature").agg(F.countDistinct("_v").alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    same = (F.col("_lo") == F.col("_hi")) & ((F.col("_lo") == 0) | (F.col("_n") == F.col("_depth")))
+    return seen.join(depth, list(group)).filter(~same).select(*group, "feature")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import wiki
 from ..functions.geo import in_box
-from ..functions.text import encode_counts, short_text_tokens, words
+from ..functions.text import encode_counts, short_text_tokens, tag_ngrams, words
 from ..operators import evaluation, filters, grids, grouping, learning, models, ranking, rows, wordstats
 from ..operators.grids import RegularGrid
 from ..operators.models import Smoothing
@@ -722,3 +722,79 @@ def streamed_users(spark, sf_dir):
     return _without_zone(spark.read.parquet(f"{path}/out")).withColumn("total", F.round("total", 4))
 
 
+# --- variants ---------------------------------------------------------------------------
+
+NUMBERS = "[0-9]{4}"
+
+
+@query(f"SELECT doc_id, lang, source FROM documents WHERE regexp_matches(text, '{NUMBERS}')")
+def documents_with_numbers(spark, sf_dir):
+    """Documents whose text has a match of a pattern."""
+    return filters.matching_text(table(spark, sf_dir, "documents"), NUMBERS).select("doc_id", "lang", "source")
+
+
+@query("""
+WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents),
+w AS (SELECT unnest(CASE WHEN rtrim(line, ' ') = '' AND line <> '' THEN [] ELSE string_split(rtrim(line, ' '), ' ') END) AS word FROM l)
+SELECT word, count(*) AS cnt FROM w WHERE length(word) < 8 GROUP BY word""")
+def short_words(spark, sf_dir):
+    """Words of fewer than 8 characters in the lines of `documents`."""
+    lines = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("value"))
+    return wordstats.short_word_counts(lines)
+
+
+@query("""
+WITH f AS (SELECT l_orderkey, l_linenumber, 'flag=' || l_returnflag AS feature, 1.0::DOUBLE AS v FROM lineitem
+  UNION ALL SELECT l_orderkey, l_linenumber, 'discount', l_discount::DOUBLE FROM lineitem),
+n AS (SELECT l_orderkey, count(DISTINCT l_linenumber) AS depth FROM f GROUP BY 1)
+SELECT l_orderkey, feature FROM f JOIN n USING (l_orderkey) GROUP BY l_orderkey, feature, depth
+HAVING NOT (min(v) = max(v) AND (min(v) = 0 OR count(DISTINCT l_linenumber) = depth))""")
+def order_differences(spark, sf_dir):
+    """Features in which the lines of an order differ."""
+    lines = table(spark, sf_dir, "lineitem")
+    pairs = F.array(F.struct(F.concat(F.lit("flag="), "l_returnflag").alias("feature"), F.lit(1.0).alias("value")), F.struct(F.lit("discount").alias("feature"), F.col("l_discount").cast("double").alias("value")))
+    return wordstats.differing_features(lines.select("l_orderkey", "l_linenumber", F.inline(pairs)), ["l_orderkey"], "l_linenumber")
+
+
+@query(f"""WITH {_EVENTS}, r AS (SELECT *, {cell_sql(30)} FROM e),
+g AS (SELECT concat("row", ',', col) AS cell, "user", unnest([lang, 'k' || k]) AS gram FROM r)
+SELECT cell, gram, CAST(count(DISTINCT "user") AS DOUBLE) AS cnt FROM g WHERE gram IS NOT NULL GROUP BY cell, gram""")
+def users_by_cell_word(spark, sf_dir):
+    """Cell models in which a user counts once a word."""
+    events = _events(spark, sf_dir).withColumn("cell", cell_name(RegularGrid(30.0)))
+    return models.counts_once_per_user(events, ["cell"], "user", F.col("tokens"))
+
+
+@query("""
+WITH w AS (SELECT string_split_regex(lower(p_name), '\\s+') AS w FROM part),
+g AS (SELECT unnest(list_concat([[x] for x in w], CASE WHEN len(w) < 2 THEN [w] ELSE [w[i:i+1] for i in range(1, len(w))] END)) AS g FROM w)
+SELECT array_to_string(g, ' ') AS gram, count(*) AS cnt FROM g GROUP BY 1""")
+def name_ngrams(spark, sf_dir):
+    """One- and two-word parts of the names of parts."""
+    grams = table(spark, sf_dir, "part").select(F.explode(tag_ngrams(F.col("p_name"), 2)).alias("g"))
+    return grams.groupBy(F.concat_ws(" ", "g").alias("gram")).agg(F.count(F.lit(1)).alias("cnt"))
+
+
+@query(f"WITH {sql.NAIVE_BAYES} SELECT doc, cell, round(score - max(score) OVER (PARTITION BY doc), 6) + 0.0 AS score FROM ranked WHERE rank <= 10")
+def rescaled_scores(spark, sf_dir):
+    """The ten best cells of each item, scores less the best one."""
+    _, ranked, *_ = geolocate(spark, sf_dir)
+    return ranking.rescaled(ranked.filter("rank <= 10").withColumnRenamed("naive_bayes", "score")).select("doc", "cell", (F.round("score", 6) + 0.0).alias("score"))
+
+
+@query(f"""WITH {sql.NAIVE_BAYES} SELECT doc, cell, row_number() OVER (PARTITION BY doc ORDER BY md5(concat('7:', doc, ':', cell)), cell) AS rank FROM ranked WHERE rank <= 10
+UNION ALL SELECT doc, cell, rank FROM ranked WHERE rank > 10""")
+def random_reranking(spark, sf_dir):
+    """The ten best cells of each item in a random order, the others in place."""
+    _, ranked, *_ = geolocate(spark, sf_dir)
+    return ranking.randomly_reranked(ranked, 10, 7).select("doc", "cell", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""WITH {sql.NAIVE_BAYES}, o AS (SELECT i.doc, i.cell FROM items i JOIN cells c ON c.cell = i.cell)
+SELECT doc, cell, 0.0::DOUBLE AS score, 1::BIGINT AS rank FROM o
+UNION ALL SELECT doc, cell, round(score, 6) + 0.0, rank FROM ranked WHERE doc NOT IN (SELECT doc FROM o)""")
+def oracle_ranking(spark, sf_dir):
+    """The correct cell of each item, if it has documents; else its ranked cells."""
+    corpus, ranked, truth, _ = geolocate(spark, sf_dir)
+    found = ranking.oracle_ranked(ranked.withColumnRenamed("naive_bayes", "score"), truth, corpus.cells)
+    return found.select("doc", "cell", (F.round("score", 6) + 0.0).alias("score"), F.col("rank").cast("long").alias("rank"))

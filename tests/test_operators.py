@@ -483,3 +483,63 @@ def test_co_training_stops_below_the_batch(spark):
     steps = list(learning.co_train(labelled, rest, fit, least_batch=1, rounds=5, confidence=0.9))
     assert [s.count() for s in steps] == [2]
     assert one(spark, w=learning.windows_of(F.array(*[F.lit(str(i)) for i in range(9)]), F.array(F.lit(4), F.lit(0)), 2)).w == [["2", "3", "4", "5", "6"], ["0", "1", "2"]]
+
+
+# --- variants --------------------------------------------------------------------------
+
+
+def test_matching_text(spark):
+    rows = spark.createDataFrame([(1, "in 1999 or so"), (2, "none"), (3, None), (4, "")], "id long, text string")
+    assert [r.id for r in filters.matching_text(rows, "[0-9]{4}").collect()] == [1]
+
+
+def test_short_word_counts(spark):
+    lines = spark.createDataFrame([("a  b a",), ("",), ("   ",), ("muchlonger a ",), (None,)], "value string")
+    assert {r.word: r.cnt for r in wordstats.short_word_counts(lines).collect()} == {"a": 3, "b": 1, "": 2}
+
+
+def test_differing_features(spark):
+    rows = [("g", 1, "same", 2.0), ("g", 2, "same", 2.0), ("g", 1, "once", 1.0), ("g", 1, "zero", 0.0), ("g", 1, "x", 1.0), ("g", 2, "x", 3.0), ("h", 1, "x", 1.0)]
+    got = wordstats.differing_features(spark.createDataFrame(rows, "grp string, vec int, feature string, value double"), ["grp"], "vec")
+    assert sorted(map(tuple, got.collect())) == [("g", "once"), ("g", "x")]
+
+
+def test_counts_once_per_user(spark):
+    rows = [("c", "ann", ["x", "x", "y"]), ("c", "ann", ["x"]), ("c", "bob", ["x", None]), ("d", None, ["x"]), ("d", None, ["x"])]
+    got = models.counts_once_per_user(spark.createDataFrame(rows, "cell string, user string, tokens array<string>"), ["cell"], "user", F.col("tokens"))
+    assert sorted(map(tuple, got.collect())) == [("c", "x", 2.0), ("c", "y", 1.0), ("d", "x", 1.0)]
+
+
+def test_rerankings(spark):
+    ranked = spark.createDataFrame([(d, f"c{i}", -float(i), i) for d in (1, 2) for i in range(1, 6)], "doc long, cell string, score double, rank int")
+    shifted = {(r.doc, r.cell): r.score for r in ranking.rescaled(ranked.filter("doc = 1")).collect()}
+    assert shifted == {(1, f"c{i}"): 1.0 - i for i in range(1, 6)}
+    once, again = (sorted(map(tuple, ranking.randomly_reranked(ranked.repartition(n), 3, 5).collect())) for n in (1, 7))
+    assert once == again
+    assert sorted(r for d, _, r in once if d == 1) == [1, 2, 3, 4, 5]
+    assert {c for d, c, r in once if d == 2 and r <= 3} == {"c1", "c2", "c3"}
+    truth, cells = spark.createDataFrame([(1, "c4"), (2, "c9")], "doc long, correct_cell string"), ranked.select("cell").distinct()
+    got = sorted(map(tuple, ranking.oracle_ranked(ranked, truth, cells).collect()))
+    assert got == [(1, "c4", 0.0, 1)] + [(2, f"c{i}", -float(i), i) for i in range(1, 6)]
+
+
+def test_sorted_tables(spark):
+    data = [("a", 3, 0.5, 0.1, 9.0, 5.0, 7.0), ("b", 4, 0.9, 0.3, 8.0, 6.0, 7.0), ("c", 1, 0.1, 0.2, 1.0, 9.0, 5.0)]
+    found = spark.createDataFrame(data, "file string, n_eval long, accuracy double, acc_161 double, mean_km double, median_km double, average_km double")
+    orders = {by: "".join(r.file for r in evaluation.sorted_results(found, by).collect()) for by in evaluation.RESULT_ORDERS}
+    assert orders == {"average": "cab", "mean": "cba", "median": "abc", "accuracy": "bac", "acc161": "bca", "numeval": "bac", "file": "abc"}
+    assert [r.file for r in rows.sorted_by(found.select("file", "average_km"), "average_km").collect()] == ["a", "b", "c"]
+
+
+def test_counters(spark):
+    kept, seen = rows.counted(spark.range(10), "ids", {"even": F.col("id") % 2 == 0, "large": F.col("id") > 7})
+    assert kept.filter("id < 100").count() == 10
+    assert seen.get == {"even": 5, "large": 2}
+
+
+def test_tag_ngrams_and_pretty_json(spark):
+    tags = spark.createDataFrame([("Big  Red Bus ",), ("one",), ("",), (None,)], "tag string")
+    got = [r[0] for r in tags.select(text.tag_ngrams(F.col("tag"), 2)).collect()]
+    assert got == [[["big"], ["red"], ["bus"], ["big", "red"], ["red", "bus"]], [["one"], ["one"]], [[""], [""]], None]
+    pretty = tags.limit(1).select(text.pretty_json(F.struct(F.lit(1).alias("a"), F.array(F.lit(2)).alias("b")))).first()[0]
+    assert "\n" in pretty and json.loads(pretty) == {"a": 1, "b": [2]}
