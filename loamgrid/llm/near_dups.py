@@ -28,6 +28,8 @@ BANDS, ROWS = 24, 5
 SKETCH = 8
 #: More pairs than this a row in the exact join between components, and one member is compared with all others first.
 DENSE = 1024
+#: Earlier shingles of its set that a prefix key carries.
+EARLIER = 8
 _TIMES = np.random.default_rng(SEED).integers(0, 1 << 31, BANDS * ROWS).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 _PLUS = np.random.default_rng(SEED + 1).integers(0, 1 << 32, BANDS * ROWS).astype(np.uint32)
 
@@ -256,6 +258,11 @@ def _prefix_links(sets: DataFrame, tree: DataFrame) -> DataFrame:
     candidates only of texts that consist of little else.  Shingles of one text
     alone make none and only take places.  Sets that differ in d shingles differ
     in at most d parities, so the join drops pairs that differ in too many.
+
+    A pair is needed at its first common key only.  There all common shingles
+    are still to come, which bounds their number by the places left in either
+    set; and no key before it is common, so a pair whose EARLIER last keys meet
+    was found before.  Both tests hold at the first common key of every link.
     """
     each = sets.select("n", F.explode("sh").alias("sh"))
     df = write_table(each.groupBy("sh").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "prefix-df")
@@ -265,13 +272,18 @@ def _prefix_links(sets: DataFrame, tree: DataFrame) -> DataFrame:
     long = F.col("size") - F.ceil(F.col("size") * SIMILAR - 1e-9) + 1 - places
     short = F.col("size") - F.ceil(F.col("size") * (2 * SIMILAR / (1 + SIMILAR)) - 1e-9) + 1 - places
     first = F.slice("some", 1, F.greatest(long, F.lit(0)).cast("int"))
-    some = some.filter(long > 0).select("n", "size", "odd", short.alias("short"), first.alias("some"))
-    keys = some.select("n", "size", "odd", "short", F.posexplode("some.sh").alias("at", "k"))
-    keys = write_table(keys.select("k", "n", "size", "odd", (F.col("at") < F.col("short")).alias("short")), "prefix-keys")
+    some = some.filter(long > 0).select("n", "size", "odd", short.alias("short"), places.alias("places"), F.transform(first, lambda x: x.sh).alias("some"))
+
+    def key(k: Column, at: Column) -> Column:
+        return F.struct(at.alias("at"), k.alias("k"), F.array(*[F.get("some", at - i) for i in range(1, EARLIER + 1)]).alias("before"))
+
+    keys = some.select("n", "size", "odd", "short", "places", F.inline(F.transform("some", key)))
+    keys = keys.select("k", "n", "size", "odd", (F.col("at") < F.col("short")).alias("short"), (F.col("size") - F.col("places") - F.col("at")).alias("rest"), "before")
+    keys = write_table(keys, "prefix-keys")
     drop_table(df)
     starred, last = False, False
     while not last:
-        rooted = keys.join(tree, keys.n == tree.node, "left").select("k", "n", "size", "odd", "short", F.coalesce("root", "n").alias("root"))
+        rooted = keys.join(tree, keys.n == tree.node, "left").select("k", "n", "size", "odd", "short", "rest", "before", F.coalesce("root", "n").alias("root"))
         rooted = write_table(rooted, "prefix-rooted")
         per = rooted.groupBy("k", "root").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("n", "size")).alias("c"))
         main = per.groupBy("k").agg(F.max(F.struct("m", "root", "c")).alias("main"), F.count(F.lit(1)).alias("roots"), F.sum("m").alias("m"))
@@ -288,18 +300,23 @@ def _prefix_links(sets: DataFrame, tree: DataFrame) -> DataFrame:
             found = found.filter(_sizes_allow("na", "nb") & _sizes_allow("nb", "na"))
         else:
             mixed = write_table(mixed.withColumn("main", F.col("main.root")), "prefix-mixed")
-            small = mixed.filter("short").select("k", "main", F.col("n").alias("a"), F.col("size").alias("na"), F.col("root").alias("ra"), F.col("odd").alias("oa"))
-            large = mixed.select("k", F.col("n").alias("b"), F.col("size").alias("nb"), F.col("root").alias("rb"), F.col("odd").alias("ob"))
-            other = sum((F.bit_count(F.col("oa")[i].bitwiseXOR(F.col("ob")[i])) for i in range(SKETCH)), F.lit(0))
-            near = other <= (F.col("na") + F.col("nb")) * ((1 - SIMILAR) / (1 + SIMILAR)) + 1e-9
-            near = near & (F.col("na") <= F.col("nb")) & _sizes_allow("na", "nb")
+
+            def side(t: DataFrame, x: str, *more: str) -> DataFrame:
+                return t.select("k", *more, *[F.col(c).alias(f"{c}_{x}") for c in ("n", "size", "root", "odd", "rest", "before")])
+
+            small, large = side(mixed.filter("short"), "a", "main"), side(mixed, "b")
+            other = sum((F.bit_count(F.col("odd_a")[i].bitwiseXOR(F.col("odd_b")[i])) for i in range(SKETCH)), F.lit(0))
+            both = F.col("size_a") + F.col("size_b")
+            near = other <= both * ((1 - SIMILAR) / (1 + SIMILAR)) + 1e-9
+            near = near & (F.col("size_a") <= F.col("size_b")) & _sizes_allow("size_a", "size_b")
+            near = near & (F.least("rest_a", "rest_b") >= both * (SIMILAR / (1 + SIMILAR)) - 1e-9)
+            near = near & ~F.coalesce(F.arrays_overlap("before_a", "before_b"), F.lit(False))
 
             def joined(one: DataFrame, two: DataFrame, near: Column = near) -> DataFrame:
-                return one.join(two, (one.k == two.k) & (F.col("ra") != F.col("rb")) & near).select("a", "b")
+                pairs = one.join(two, (one.k == two.k) & (F.col("root_a") != F.col("root_b")) & near)
+                return pairs.select(F.col("n_a").alias("a"), F.col("n_b").alias("b"))
 
-            found = joined(small.filter("ra != main"), large).union(
-                joined(small.filter("ra = main"), mixed.filter("root != main").select("k", F.col("n").alias("b"), F.col("size").alias("nb"), F.col("root").alias("rb"), F.col("odd").alias("ob")))
-            )
+            found = joined(small.filter("root_a != main"), large).union(joined(small.filter("root_a = main"), side(mixed.filter("root != main"), "b")))
         found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         found = write_table(found, "prefix-pairs")
         one, two = sets.select(F.col("n").alias("a"), F.col("sh").alias("sa")), sets.select(F.col("n").alias("b"), F.col("sh").alias("sb"))
