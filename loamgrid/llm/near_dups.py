@@ -34,6 +34,16 @@ _TIMES = np.random.default_rng(SEED).integers(0, 1 << 31, BANDS * ROWS).astype(n
 _PLUS = np.random.default_rng(SEED + 1).integers(0, 1 << 32, BANDS * ROWS).astype(np.uint32)
 
 
+def _votes(hashes: np.ndarray) -> np.ndarray:
+    """In how many of the hashes each of the 64 bits is set."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _majority(ones: np.ndarray, n: int) -> int:
+    """The bits set in over half of n hashes, as a signed integer."""
+    return int(np.packbits((ones * 2 > n).astype(np.uint8), bitorder="little").view(np.int64)[0])
+
+
 def simhash(text: bytes | None, width: int = 3) -> int:
     """64-bit SimHash of word shingles, as a signed integer.
 
@@ -51,9 +61,8 @@ def simhash(text: bytes | None, width: int = 3) -> int:
     for at in range(0, len(spans), _AT_ONCE):
         part = spans[at : at + _AT_ONCE]
         h = np.fromiter((digest(joined[a:b], SEED) for a, b in part), np.uint64, len(part))
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = (ones * 2 > len(spans)).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view(np.int64)[0])
+        ones += _votes(h)
+    return _majority(ones, len(spans))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -203,18 +212,42 @@ def _band_keys(shingles: np.ndarray) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)), np.uint64, BANDS).view(np.int64)
 
 
+def _fingerprint(shingles: np.ndarray) -> int:
+    """SimHash of a set of shingle hashes; 0 for an empty set."""
+    parts = [shingles[at : at + _AT_ONCE] for at in range(0, len(shingles), _AT_ONCE)]
+    return _majority(sum(map(_votes, parts), np.zeros(64, np.int64)), len(shingles))
+
+
 def _signatures(rows: DataFrame) -> DataFrame:
-    """(id, hash, node, size, keys) of rows (id, hash, text): digest of the words, shingles, band keys."""
+    """(id, hash, node, size, fp, keys) of rows (id, hash, text): digest of the words, shingles, SimHash, band keys."""
     kind = rows.schema["id"].dataType.simpleString()
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(node, len(sh), _band_keys(sh)) for node, sh in (_shingles(x.as_py(), WIDTH) for x in b.column(2))]
-            nodes, sizes, keys = zip(*found, strict=True) if found else ((), (), ())
-            more = [pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], *more], ["id", "hash", "node", "size", "keys"])
+            found = [(node, len(sh), _fingerprint(sh), _band_keys(sh)) for node, sh in (_shingles(x.as_py(), WIDTH) for x in b.column(2))]
+            nodes, sizes, fps, keys = zip(*found, strict=True) if found else ((), (), (), ())
+            more = [pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], *more], ["id", "hash", "node", "size", "fp", "keys"])
+
+    return rows.mapInArrow(signed, f"id {kind}, hash long, node binary, size long, fp long, keys array<long>")
+
 
-    return rows.mapInArrow(signed, f"id {kind}, hash long, node binary, size long, keys array<long>")
+def _simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, na, b, nb) of nodes (n, size, fp) by the links of their fingerprints, n and size of either.
+
+    The least node of a fingerprint stands for it in the links and is paired
+    with the others that have the same one.
+    """
+    some = nodes.filter("size > 0").select("n", "size", "fp")  # no words: one node
+    firsts = write_table(some.groupBy("fp").agg(F.min(F.struct("n", "size")).alias("first")), "simhash-firsts")
+    edges = links(firsts.select("fp"))
+    equal = some.join(firsts, "fp").filter("n != first.n").select("first", F.struct("n", "size").alias("second"))
+    one, two = (firsts.select(F.col("fp").alias(x), F.col("first").alias(y)) for x, y in (("a", "first"), ("b", "second")))
+    near = edges.join(one, "a").join(two, "b").select("first", "second")
+    pairs = equal.union(near).select(F.least("first", "second").alias("x"), F.greatest("first", "second").alias("y"))
+    pairs = write_table(pairs.select(F.col("x.n").alias("a"), F.col("x.size").alias("na"), F.col("y.n").alias("b"), F.col("y.size").alias("nb")), "simhash-pairs")
+    drop_table(edges, firsts)
+    return pairs
 
 
 def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -335,22 +368,26 @@ def _prefix_links(sets: DataFrame, tree: DataFrame) -> DataFrame:
 def jaccard_components(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, root) for the nodes that a link of Jaccard similarity SIMILAR or more reaches.
 
-    `nodes` has one row per distinct text: n, size (of its shingle set) and keys
-    (of its bands).  `texts_of` gives (n, text) for rows with a column n.  Texts
-    that share a band key are candidates and every link is verified.  First all
-    members of a key are compared with its least one.  Then the members of keys
-    that hold more than one component go through an exact prefix-filter join
-    between components.  No candidate link is lost, and neither a group of near
-    copies nor a passage that many texts hold costs its square.
+    `nodes` has one row per distinct text: n, size (of its shingle set), fp (its
+    SimHash) and keys (of its bands).  `texts_of` gives (n, text) for rows with a
+    column n.  Texts whose fingerprints are linked, or that share a band key, are
+    candidates and every link is verified.  First the links of fingerprints are
+    taken and all members of a key are compared with its least one.  Then the
+    members of keys that hold more than one component go through an exact
+    prefix-filter join between components.  No candidate link of a key is lost,
+    and neither a group of near copies nor a passage that many texts hold costs
+    its square.
     """
+    hashed = _simhash_pairs(nodes)
     keyed = nodes.select("n", "size", F.explode("keys").alias("k"))
     counts = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("n", "size")).alias("first")).filter("m > 1")
     counts = write_table(counts.select("k", "first"), "minhash-keys")
     shared = write_table(keyed.join(counts, "k"), "minhash-shared")
     drop_table(counts)
     pairs = shared.filter("n != first.n").select(F.col("first.n").alias("a"), F.col("n").alias("b"), F.col("first.size").alias("na"), F.col("size").alias("nb"))
-    pairs = pairs.filter(_sizes_allow("na", "nb") & _sizes_allow("nb", "na")).select("a", "b").distinct()
-    pairs = write_table(pairs, "minhash-pairs")
+    pairs = pairs.union(hashed.select(pairs.columns)).filter(_sizes_allow("na", "nb") & _sizes_allow("nb", "na"))
+    pairs = write_table(pairs.select("a", "b").distinct(), "minhash-pairs")
+    drop_table(hashed)
     texts = write_table(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct()), "minhash-texts")
     edges = _similar(pairs, texts)
     drop_table(pairs, texts)
@@ -381,10 +418,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Two rows are near duplicates if their A-Z-folded words are the same, or if
     the sets of their WIDTH-word shingles (the whole text, if shorter) have a
-    Jaccard similarity of SIMILAR or more.  op10's fingerprints cannot tell:
-    at that similarity they lie up to 11 bits and more apart.  Candidates come
-    from MinHash bands; a pair of similarity 0.8 shares one with probability
-    0.99993, a closer pair more surely.
+    Jaccard similarity of SIMILAR or more.  Candidates are, as in op10, texts
+    whose SimHash fingerprints (of those shingles) lie within 2 bits.  At that
+    similarity they lie up to 11 bits and more apart, so the rest comes from
+    MinHash bands: a pair of similarity 0.8 shares one with probability 0.99993,
+    a closer pair more surely.
 
     Rows are judged by (id, text): different texts under one id stay apart, of
     rows equal in both one stays (the one of the least hash of all columns).
@@ -397,7 +435,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).alias("id"), hashed.alias("hash"), text.alias("text"))
     signed = write_table(_signatures(rows), "minhash")
     order = F.struct(F.col("id").isNull().alias("unknown"), "id", "hash")
-    nodes = signed.groupBy("node").agg(F.min(order).alias("first"), F.max("size").alias("size"), F.max("keys").alias("keys"))
+    nodes = signed.groupBy("node").agg(F.min(order).alias("first"), F.max("size").alias("size"), F.max("fp").alias("fp"), F.max("keys").alias("keys"))
     nodes = write_table(nodes.withColumn("n", F.monotonically_increasing_id()), "minhash-nodes")
     again = signed.groupBy("id", "hash").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("id", "hash")
     again = write_table(again, "minhash-again")
@@ -408,7 +446,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         found = rows.join(named, rows.id.eqNullSafe(named.i) & (rows.hash == named.h)).select("n", "text")
         return found.dropDuplicates(["n"]) if repeats else found  # equal (id, text): any of them
 
-    tree = jaccard_components(nodes.select("n", "size", "keys"), texts_of)
+    tree = jaccard_components(nodes.select("n", "size", "fp", "keys"), texts_of)
     rooted = nodes.join(tree, nodes.n == tree.node, "left").select(nodes.node, "first", F.coalesce("root", "n").alias("root"))
     rooted = write_table(rooted, "minhash-rooted")
     kept = write_table(rooted.groupBy("root").agg(F.min("first").alias("kept")), "minhash-kept")

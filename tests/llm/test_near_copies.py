@@ -80,3 +80,30 @@ def test_different_texts_under_one_id(spark):
     rows = [(1, "one text of its own"), (1, "another text that is not alike"), (0, "another text that is not alike"), (1, "one text of its own"), (1, "a third one, quite unlike both")]
     got = near_dups.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(map(tuple, got.collect())) == [rows[2], rows[4], rows[0]]
+
+
+def test_simhash_links_are_candidates(spark):
+    """Fingerprints within 2 bits, or equal, make candidates without any band key; Jaccard decides."""
+    rng = np.random.default_rng(5)
+    say = lambda n: " ".join(rng.choice([f"w{i}" for i in range(4000)], n))
+    long = say(600)
+    texts = [long, long + " more", say(50), say(50), say(50)]
+    sets = [near_dups._shingles(t.encode(), near_dups.WIDTH)[1] for t in texts]
+    fps = [near_dups._fingerprint(s) for s in sets]
+    assert 0 <= (fps[0] ^ fps[1]).bit_count() <= 2
+    fps[3], fps[4] = fps[2] ^ 1, fps[2]  # candidates that are not alike
+    rows = [(i, len(s), fp, []) for i, (s, fp) in enumerate(zip(sets, fps, strict=True))]
+    nodes = spark.createDataFrame(rows, "n long, size long, fp long, keys array<long>")
+    named = spark.createDataFrame(list(enumerate(t.encode() for t in texts)), "n long, text binary")
+    got = near_dups.jaccard_components(nodes, lambda wanted: named.join(wanted, "n"))
+    assert sorted(map(tuple, got.collect())) == [(0, 0), (1, 0)]
+    found = near_dups._simhash_pairs(nodes).select("a", "b").collect()
+    assert {(0, 1), (2, 3), (2, 4)} <= set(map(tuple, found))
+
+
+def test_fingerprint_is_the_simhash_of_the_set():
+    rng = np.random.default_rng(8)
+    shingles = np.unique(rng.integers(0, 1 << 63, 301).astype(np.uint64))
+    want = sum(1 << i for i in range(64) if sum(int(h) >> i & 1 for h in shingles) * 2 > len(shingles))
+    assert near_dups._fingerprint(shingles) % (1 << 64) == want
+    assert near_dups._fingerprint(shingles[:0]) == 0
