@@ -30,6 +30,8 @@ SKETCH = 8
 DENSE = 1024
 #: Earlier shingles of its set that a prefix key carries.
 EARLIER = 8
+#: 64-bit words, at most, of the broadcast bitmap that spares the texts of other rows a shuffle.
+MAP = 1 << 18
 _TIMES = np.random.default_rng(SEED).integers(0, 1 << 31, BANDS * ROWS).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 _PLUS = np.random.default_rng(SEED + 1).integers(0, 1 << 32, BANDS * ROWS).astype(np.uint32)
 
@@ -413,6 +415,33 @@ def jaccard_components(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFra
     return tree
 
 
+def _marked(rows: DataFrame, cols: list[str], keys: DataFrame, mark: str) -> DataFrame:
+    """`rows` with a column `mark`: false only where no row of `keys` has the values in `cols`.
+
+    The first columns of `keys` are those of `cols`, of the same types.  A bitmap
+    of their hashes, 16 bits or more a key up to MAP words, is broadcast; beyond
+    that more rows are marked than need be.  So what is marked takes an exact
+    join, and what is not is spared its shuffle.
+    """
+    words, n = 1, keys.count()
+    while words < MAP and 4 * words < n:
+        words *= 2
+    slot, bits = fresh(rows, "_slot", "_bits")
+
+    def place(h: Column) -> Column:
+        return h.bitwiseAND(F.lit(words - 1))
+
+    def bit(h: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 58).cast("int"))
+
+    key = F.xxhash64(*[F.col(f"`{c}`") for c in keys.columns[: len(cols)]])
+    bitmap = keys.select(place(key).alias(slot), bit(key).alias(bits)).groupBy(slot).agg(F.bit_or(bits).alias(bits))
+    own = F.xxhash64(*[F.col(f"`{c}`") for c in cols])
+    there = F.coalesce(F.col(bits).bitwiseAND(bit(own)) != 0, F.lit(False))
+    joined = rows.join(F.broadcast(bitmap), place(own) == F.col(slot), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in rows.columns], there.alias(mark))
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Keep one row of each component of near duplicates: the one of the least id, a null id coming last.
 
@@ -429,7 +458,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows without words are copies of each other.  An empty table gives an empty
     result; all columns stay as they are.
     """
-    (key,) = fresh(docs, "_hash")
+    key, mark = fresh(docs, "_hash", "_mark")
     hashed = F.xxhash64(F.col(text_col).cast("string"))
     text = F.col(text_col).cast("string").cast("binary")
     rows = docs.select(F.col(id_col).alias("id"), hashed.alias("hash"), text.alias("text"))
@@ -442,8 +471,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     repeats = not again.isEmpty()
 
     def texts_of(wanted: DataFrame) -> DataFrame:
-        named = write_table(nodes.select("n", F.col("first.id").alias("i"), F.col("first.hash").alias("h")).join(wanted, "n"), "minhash-wanted")
-        found = rows.join(named, rows.id.eqNullSafe(named.i) & (rows.hash == named.h)).select("n", "text")
+        named = nodes.join(wanted, "n").select(F.col("first.id").alias("i"), F.col("first.hash").alias("h"), "n")
+        named = write_table(named, "minhash-wanted")
+        some = _marked(rows, ["id", "hash"], named, "_mark").filter("_mark")
+        found = some.join(named, some.id.eqNullSafe(named.i) & (some.hash == named.h)).select("n", "text")
         return found.dropDuplicates(["n"]) if repeats else found  # equal (id, text): any of them
 
     tree = jaccard_components(nodes.select("n", "size", "fp", "keys"), texts_of)
@@ -454,19 +485,20 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     other = ~(F.col("id").eqNullSafe(F.col("kept.id")) & (F.col("hash") == F.col("kept.hash")))
     gone = write_table(signed.join(judged, "node").filter(other).select("id", "hash").distinct(), "minhash-gone")
     drop_table(tree, rooted, kept, judged, nodes, signed)
-    docs_keyed = docs.withColumn(key, hashed)
+    docs_keyed = _marked(docs.withColumn(key, hashed), [id_col, key], gone.union(again) if repeats else gone, mark)
+    alone, judged = docs_keyed.filter(~F.col(mark)).drop(mark), docs_keyed.filter(F.col(mark)).drop(mark)
 
     def on(t: DataFrame) -> Column:
-        return docs_keyed[id_col].eqNullSafe(t.id) & (docs_keyed[key] == t.hash)
+        return judged[id_col].eqNullSafe(t.id) & (judged[key] == t.hash)
 
-    left = docs_keyed.join(gone, on(gone), "left_anti")
+    left = judged.join(gone, on(gone), "left_anti")
     if repeats:
         once = left.join(again, on(again), "left_anti")
-        more = docs_keyed.join(again, on(again), "left_semi").join(gone, on(gone), "left_anti")
-        whole = F.struct(*[F.col(f"`{c}`") for c in docs_keyed.columns])
+        more = judged.join(again, on(again), "left_semi").join(gone, on(gone), "left_anti")
+        whole = F.struct(*[F.col(f"`{c}`") for c in judged.columns])
         more = more.groupBy(id_col, key).agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias("_r")).select("_r.*")
         left = once.unionByName(more)
-    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return alone.unionByName(left).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

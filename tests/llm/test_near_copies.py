@@ -107,3 +107,48 @@ def test_fingerprint_is_the_simhash_of_the_set():
     want = sum(1 << i for i in range(64) if sum(int(h) >> i & 1 for h in shingles) * 2 > len(shingles))
     assert near_dups._fingerprint(shingles) % (1 << 64) == want
     assert near_dups._fingerprint(shingles[:0]) == 0
+
+
+def _moved(node):
+    """Rows that the exchanges of an executed plan have written."""
+    own = node.metrics().apply("shuffleRecordsWritten").value() if node.nodeName() == "Exchange" else 0
+    below = node.children()
+    return own + sum(_moved(below.apply(i)) for i in range(below.size()))
+
+
+def test_texts_of_no_copies_are_not_shuffled(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(4000)], 60)) for _ in range(600)]
+    rows = [(i, t) for i, t in enumerate([*texts, *(f"{t} more" for t in texts[:4]), texts[5]])] + [(None, texts[6]), (None, "alone")]
+    moved, write = {}, near_dups.write_table
+
+    def counted(df, tag):
+        if tag == "minhash-texts":
+            df.collect()
+            moved[tag] = _moved(df._jdf.queryExecution().executedPlan())
+        return write(df, tag)
+
+    monkeypatch.setattr(near_dups, "write_table", counted)
+    for name, value in (("spark.sql.autoBroadcastJoinThreshold", "-1"), ("spark.sql.adaptive.enabled", "false")):
+        spark.conf.set(name, value)
+    try:
+        out = near_dups.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+        got = [tuple(r) for r in out.collect()]
+        moved["result"] = _moved(out._jdf.queryExecution().executedPlan())
+    finally:
+        for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"):
+            spark.conf.unset(name)
+    assert sorted(got, key=str) == kept_by_brute_force(rows)
+    assert max(moved.values()) < 200 and len(moved) == 2
+
+
+def test_marks_miss_no_key(spark, monkeypatch):
+    rows = spark.createDataFrame([(i if i % 7 else None, i * 31, "x") for i in range(2000)], "id long, h long, _slot string")
+    keys = rows.filter("h % 5 = 0 or id is null").select("id", "h")
+    for words in (1 << 18, 1):  # the least map marks nearly all
+        monkeypatch.setattr(near_dups, "MAP", words)
+        got = near_dups._marked(rows, ["id", "h"], keys, "_mark")
+        assert got.columns == ["id", "h", "_slot", "_mark"] and got.count() == 2000
+        assert got.filter("not _mark and (h % 5 = 0 or id is null)").isEmpty()
+        assert (got.filter("not _mark").count() > 1000) == (words > 1)
+    assert near_dups._marked(rows, ["id", "h"], keys.limit(0), "_mark").filter("_mark").isEmpty()
