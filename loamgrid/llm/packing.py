@@ -105,8 +105,14 @@ def pack(
 
 
 def word_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Length of each text: its words plus one for the end mark.  A null text has length 1."""
-    words = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
+    """Length of each text: its words plus one for the end mark.  A null text has length 1.
+
+    Each word with the blanks after it becomes one letter, and letters are
+    counted.  regexp_count would hold an array of all words of the text.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    letters = F.regexp_replace(text, F.lit(r"[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+"), F.lit("x"))
+    words = F.octet_length(F.ltrim(letters, F.lit(" \t\n\v\f\r")))  # blanks before the first word
     return docs.select(F.col(id_col), (words + 1).cast("long").alias("n_tokens"))
 
 
