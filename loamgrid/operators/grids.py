@@ -1,7 +1,7 @@
 """Cells on the sphere and in time, and what is gathered in them.
 
 A regular cell is two column expressions, so placing documents needs no
-shuffle.  A K-d tree is grown level by level from small per-node aggregates.
+shuffle.  A K-d tree is a table that is grown level by level.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geo import boxes_overlap, clip_latitude, wrap_longitude
+from ..sources.scratch import written
 
 #: Added before flooring, so that coordinates on an edge fall into the upper cell.
 NUDGE = 1e-8
@@ -168,62 +169,81 @@ class KdNode:
     size: int
 
 
-def grow_kd(points: DataFrame, bucket: int = 200, method: str = "halfway", max_depth: int = 40) -> list[KdNode]:
-    """Nodes of a K-d tree over (lat, lon), parents first; leaves have no axis.
+def kd_assign(points: DataFrame, bucket: int = 200, method: str = "halfway", max_depth: int = 40) -> tuple[DataFrame, DataFrame]:
+    """(points with `leaf`, nodes) of a K-d tree over (lat, lon); nodes: (path, axis, split, size), leaves have no axis.
 
     A node of more than `bucket` points is split on its wider axis (latitude if
-    equal): halfway, at the median, or in the middle of the widest gap.  A level
-    costs one aggregate over the points; only a row per open node comes to the
-    driver.  Paths are L (at or below the split) and R.  A node whose points are
-    all equal stays a leaf.
+    equal): halfway, at the median, or in the middle of the widest gap.  Paths
+    are L (at or below the split) and R.  A node whose points are all equal
+    stays a leaf.  The tree is a table: at each level the points of open nodes
+    take their node's split by a join on the path, so neither a plan nor the
+    driver grows with the nodes; two numbers of a level come to the driver.
+    Each level is written to the shared folder and read again.
     """
     if method not in ("halfway", "median", "maxmargin"):
         raise ValueError(f"unknown split method: {method}")
-    nodes: dict[str, KdNode] = {}
-    open_paths = [""]
+    at, levels, leaves = written(points.withColumn("path", F.lit("")), "kd-points"), [], []
     for _ in range(max_depth):
-        paths = points.select("lat", "lon", kd_path(list(nodes.values())).alias("path"))
-        if nodes:
-            paths = paths.filter(F.col("path").isin(open_paths))
-        stats = paths.groupBy("path").agg(
-            F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{n}_{c}") for c in ("lat", "lon") for n, f in (("lo", F.min), ("hi", F.max))]
-        )
-        wide = (F.col("hi_lon") - F.col("lo_lon")) > (F.col("hi_lat") - F.col("lo_lat"))
-        stats = stats.withColumn("axis", F.when(wide, "lon").otherwise("lat"))
-        low = F.when(wide, F.col("lo_lon")).otherwise(F.col("lo_lat"))
-        high = F.when(wide, F.col("hi_lon")).otherwise(F.col("hi_lat"))
-        rows = stats.select("path", "n", "axis", low.alias("lo"), high.alias("hi")).collect()  # a row per open node
-        splits = {r.path: (r.lo + r.hi) * 0.5 for r in rows}
-        big = [r for r in rows if r.n > bucket and r.lo < r.hi]
-        if method != "halfway" and big:
-            chosen = F.lit(None).cast("double")
-            for r in big:
-                chosen = F.when(F.col("path") == r.path, F.col(r.axis)).otherwise(chosen)
-            values = paths.withColumn("v", chosen).filter("v is not null")
-            if method == "median":
-                found = values.groupBy("path").agg(F.percentile("v", 0.5).alias("s"))
-            else:
-                distinct = values.groupBy("path", "v").agg(F.count(F.lit(1)))
-                gap = F.lead("v").over(Window.partitionBy("path").orderBy("v")) - F.col("v")
-                best = F.max(F.struct(F.col("g"), (-F.col("v")).alias("at")))
-                found = distinct.withColumn("g", gap).groupBy("path").agg(best.alias("b"))
-                found = found.select("path", (-F.col("b.at") + 0.5 * F.col("b.g")).alias("s"))
-            splits |= {r.path: r.s for r in found.collect()}
-        open_paths = []
-        for r in rows:
-            if r not in big:
-                nodes[r.path] = KdNode(r.path, None, None, r.n)
-                continue
-            at = splits[r.path] if splits[r.path] < r.hi else r.lo
-            nodes[r.path] = KdNode(r.path, r.axis, at, r.n)
-            open_paths += [r.path + "L", r.path + "R"]
-        if not open_paths:
+        level = written(_kd_level(at, bucket, method), "kd-level")
+        n_split, n_leaves = level.agg(F.count("axis"), F.count_if(F.col("axis").isNull())).first()
+        levels.append(level.select("path", "axis", "split", "size"))
+        joined = at.join(level.select("path", "axis", "split"), "path")
+        if n_leaves:
+            leaves.append(joined.filter("axis is null").select(*points.columns, F.col("path").alias("leaf")))
+        if not n_split:
             break
-    return sorted(nodes.values(), key=lambda n: (len(n.path), n.path))
+        below = F.when(F.col("axis") == "lon", F.col("lon")).otherwise(F.col("lat")) <= F.col("split")
+        path = F.concat("path", F.when(below, "L").otherwise("R"))
+        at = written(joined.filter("axis is not null").select(*points.columns, path.alias("path")), "kd-points")
+    else:
+        leaves.append(at.select(*points.columns, F.col("path").alias("leaf")))
+    if not leaves:
+        leaves.append(at.select(*points.columns, F.col("path").alias("leaf")))
+    return reduce(DataFrame.union, leaves), reduce(DataFrame.union, levels)
+
+
+def _kd_level(at: DataFrame, bucket: int, method: str) -> DataFrame:
+    """(path, axis, split, size) of the nodes that hold the points (lat, lon, path)."""
+    ends = [f(c).alias(f"{n}_{c}") for c in ("lat", "lon") for n, f in (("lo", F.min), ("hi", F.max), ("n", F.count))]
+    stats = at.groupBy("path").agg(F.count(F.lit(1)).alias("size"), *ends)
+    wide = (F.col("hi_lon") - F.col("lo_lon")) > (F.col("hi_lat") - F.col("lo_lat"))
+    lo, hi, n = (F.when(wide, F.col(f"{x}_lon")).otherwise(F.col(f"{x}_lat")) for x in ("lo", "hi", "n"))
+    stats = stats.select("path", "size", F.when(wide, "lon").otherwise("lat").alias("axis"), lo.alias("lo"), hi.alias("hi"), n.alias("n"))
+    is_open = (F.col("size") > bucket) & (F.col("lo") < F.col("hi"))
+    if method == "halfway":
+        found = stats.withColumn("s", (F.col("lo") + F.col("hi")) * 0.5)
+    else:
+        value = F.when(F.col("axis") == "lon", F.col("lon")).otherwise(F.col("lat"))
+        values = at.join(stats.filter(is_open).select("path", "axis", "n"), "path").select("path", "n", value.alias("v")).filter("v is not null")
+        values = values.groupBy("path", "n", "v").agg(F.count(F.lit(1)).alias("c"))
+        order = Window.partitionBy("path").orderBy("v")
+        if method == "median":
+            upto = F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+            values = values.withColumn("_upto", upto)
+            middle = [F.max(F.when((F.col("_upto") > r) & (F.col("_upto") - F.col("c") <= r), F.col("v"))) for r in (F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2))]
+            splits = values.groupBy("path").agg((0.5 * middle[0] + 0.5 * middle[1]).alias("s"))
+        else:
+            values = values.withColumn("g", F.lead("v").over(order) - F.col("v"))
+            splits = values.groupBy("path").agg(F.max(F.struct(F.col("g"), (-F.col("v")).alias("at"))).alias("b"))
+            splits = splits.select("path", (-F.col("b.at") + 0.5 * F.col("b.g")).alias("s"))
+        found = stats.join(splits, "path", "left")
+    is_open = F.coalesce(is_open, F.lit(False))
+    split = F.when(F.col("s") < F.col("hi"), F.col("s")).otherwise(F.col("lo"))
+    return found.select("path", F.when(is_open, F.col("axis")).alias("axis"), F.when(is_open, split).alias("split"), "size")
+
+
+def grow_kd(points: DataFrame, bucket: int = 200, method: str = "halfway", max_depth: int = 40) -> list[KdNode]:
+    """Nodes of a K-d tree as `kd_assign` grows it, parents first, in a list on the driver: for trees of few nodes."""
+    _, nodes = kd_assign(points.select("lat", "lon"), bucket, method, max_depth)
+    found = [KdNode(*r) for r in nodes.collect()]
+    return sorted(found, key=lambda n: (len(n.path), n.path))
 
 
 def kd_path(nodes: list[KdNode]) -> Column:
-    """Leaf path of (lat, lon): nested conditions, so descending needs no join."""
+    """Leaf path of (lat, lon): nested conditions, so descending needs no join.
+
+    The plan grows with the nodes, so this is for trees of few hundred; `kd_assign` gives the leaves of any.
+    """
     by_path = {n.path: n for n in nodes}
 
     def descend(path: str) -> Column:
@@ -246,6 +266,14 @@ def kd_cutoff(nodes: list[KdNode], cutoff: int) -> list[KdNode]:
     return [n if n.path in split else KdNode(n.path, None, None, n.size) for n in nodes if all(n.path[:i] in split for i in range(len(n.path)))]
 
 
+def kd_coarse(nodes: DataFrame, leaves: DataFrame, cutoff: int) -> DataFrame:
+    """(leaf, coarse) of (leaf): the leaf it lies in if only nodes of more than `cutoff` points are split."""
+    split = nodes.filter(F.col("axis").isNotNull() & (F.col("size") > cutoff)).select("path", F.lit(True).alias("_split"))
+    above = leaves.select("leaf").distinct().select("leaf", F.explode(kd_ancestors(F.col("leaf"))).alias("path"))
+    ends = above.join(split, "path", "left").filter("_split is null").groupBy("leaf").agg(F.min(F.length("path")).alias("_n"))
+    return ends.select("leaf", F.substring("leaf", F.lit(1), F.col("_n")).alias("coarse"))
+
+
 def kd_interpolate(grams: DataFrame, weight: float, depth: int) -> DataFrame:
     """Node models mixed with their parents', top-down: (1 - w) own + w parent, kept above w.
 

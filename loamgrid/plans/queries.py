@@ -90,9 +90,10 @@ def overlapping_cells(spark, sf_dir):
 def kd_cells(spark, sf_dir):
     """Leaves of a K-d tree over all customers, split at the median, and of its cut at 400 points."""
     points = placed(table(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", "lat", "lon")
-    nodes = grids.grow_kd(points, bucket=200, method="median")
-    coarse = grids.kd_cutoff(nodes, 400)
-    return points.select("c_custkey", grids.kd_path(nodes).alias("leaf"), grids.kd_path(coarse).alias("coarse"))
+    assigned, nodes = grids.kd_assign(points, bucket=200, method="median")
+    assigned = written(assigned, "kd-leaves")
+    coarse = written(grids.kd_coarse(nodes, assigned, 400), "kd-coarse")
+    return assigned.join(coarse, "leaf").select("c_custkey", "leaf", "coarse")
 
 
 @query()

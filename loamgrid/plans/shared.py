@@ -1,32 +1,20 @@
-"""Tables of the queries, and the folder that all executors share."""
+"""Tables of the queries."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.grids import RegularGrid
+from ..sources.scratch import scratch, written
+
+__all__ = ["cell_name", "cell_sql", "millis", "placed", "placed_sql", "scratch", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in spark.checkpoint.dir, or under the warehouse where none is set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/loamgrid-plans-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: cuts the lineage and computes it once."""
-    path = scratch(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def placed(rows: DataFrame, key: str) -> DataFrame:
     """Rows with a coordinate made from their key; the tables have none."""
     lat = (F.col(key) * 7919 % 18000).cast("double") / 100 - 90
