@@ -4,7 +4,9 @@ A smoothed model gives an unseen word its global probability times one factor
 of the cell.  A score is therefore a part that only needs scalars of document
 and cell, plus corrections for the words that both hold: one join on the gram
 and one aggregate by (document, cell).  Nothing is computed for the many
-(document, cell, word) triples in which the word is missing.
+(document, cell, word) triples in which the word is missing.  Of the cells'
+grams only those of test documents are joined; sums over all words of a cell
+are computed for the rankers that ask for them.
 
 Scalars of cells are broadcast only while there are at most FEW_CELLS of them:
 those of a K-d tree grow with the documents.
@@ -38,6 +40,8 @@ RANKERS = (
 PRIORS = ("uniform", "num-docs", "log-num-docs", "salience", "log-salience")
 
 
+#: Rankers that need sums, with global probabilities, over all words of a cell.
+WHOLE_CELL = {"full-kl-divergence", "symmetric-partial-kl-divergence", "symmetric-full-kl-divergence", "smoothed-full-cosine-similarity"}
 #: Most cells that are broadcast, about 150 bytes each.
 FEW_CELLS = 200_000
 
@@ -74,7 +78,9 @@ def scores(
     test_grams: (doc, gram, cnt); cell_grams: (cell, gram, cnt); cells: (cell,
     n_docs[, salience]); global_stats: (gram, g).  Ranker columns have `-`
     replaced by `_`.  Words without global probability count for the totals of
-    a document and for nothing else.
+    a document or cell and the length of a cell's own vector, and for nothing
+    else.  With interpolation and no ranker of WHOLE_CELL, global_stats needs
+    the grams of the test documents alone.
     """
     unknown = set(rankers) - set(RANKERS)
     if unknown:
@@ -92,23 +98,36 @@ def scores(
     words = test_grams.select("doc", "gram", F.col("cnt").alias("c")).join(doc_sums, "doc")
     words = words.join(global_stats.select("gram", "g"), "gram", "left").withColumns({"p": p, "p0": c * (1 - ud) / nd})
     # words of the cells, with the cell's
-    q = probability(F.col("ck"), nk, uk, g, F.col("bk"), mixed)
-    held = cell_grams.select("cell", "gram", F.col("cnt").alias("ck")).join(cell_sums, "cell")
-    held = held.join(global_stats.select("gram", "g"), "gram").withColumn("q", q)
-    held = held.withColumn("q0", F.col("ck") * (1 - uk) / nk)  # without a share of g
-    cell_scalars = held.groupBy("cell").agg(
-        F.sum(g * F.ln(g)).alias("kg1"),
-        F.sum("g").alias("kg0"),
-        F.sum(g * F.coalesce(_safe_ln(F.col("q0")), F.lit(0.0))).alias("kg2"),
-        F.sum(F.pow(F.col("ck") / nk, 2.0)).alias("kn2"),
-        F.sum(g * F.col("q")).alias("kgq"),
-        F.sum(g * g).alias("kgg"),
-        F.sum(F.col("q") * F.col("q")).alias("kqq"),
-        F.sum(F.col("q") * _safe_ln(F.col("q"))).alias("kqlq"),
-        F.sum("q").alias("kq"),
-        F.sum(F.col("q") * F.ln(g)).alias("kqlg"),
-    )
-    cell_side = cell_sums.join(cell_scalars, "cell").join(cells, "cell")
+
+    def held_of(grams: DataFrame, sums: DataFrame, stats: DataFrame) -> DataFrame:
+        held = grams.select("cell", "gram", F.col("cnt").alias("ck")).join(sums, "cell").join(stats.select("gram", "g"), "gram")
+        held = held.withColumn("q", probability(F.col("ck"), nk, uk, g, F.col("bk"), mixed))
+        return held.withColumn("q0", F.col("ck") * (1 - uk) / nk)  # without a share of g
+
+    asked = test_grams.select("gram").distinct()
+    held = held_of(cell_grams.join(asked, "gram", "left_semi"), cell_sums, global_stats.join(asked, "gram", "left_semi"))
+    cell_side = cell_sums.join(cells, "cell")
+    scalars = {
+        "kg1": g * F.ln(g),
+        "kg0": g,
+        "kg2": g * F.coalesce(_safe_ln(F.col("q0")), F.lit(0.0)),
+        "kgq": g * F.col("q"),
+        "kgg": g * g,
+        "kqq": F.col("q") * F.col("q"),
+        "kqlq": F.col("q") * _safe_ln(F.col("q")),
+        "kq": F.col("q"),
+        "kqlg": F.col("q") * F.ln(g),
+    }
+    if WHOLE_CELL & set(rankers):
+        whole = held_of(cell_grams, if_few(cell_sums, cells), global_stats)
+        cell_side = cell_side.join(whole.groupBy("cell").agg(*[F.sum(x).alias(n) for n, x in scalars.items()]), "cell", "left").fillna(0.0, list(scalars))
+    else:
+        cell_side = cell_side.withColumns({n: F.lit(0.0) for n in scalars})
+    if "full-cosine-similarity" in rankers:
+        squares = cell_grams.groupBy("cell").agg(F.sum(F.col("cnt") * F.col("cnt")).alias("_k2"))
+        cell_side = cell_side.join(squares, "cell").withColumn("kn2", F.col("_k2") / (nk * nk)).drop("_k2")
+    else:
+        cell_side = cell_side.withColumn("kn2", F.lit(0.0))
     weight = prior(prior_kind)
     cell_side = cell_side.withColumn("prior", weight / F.sum(weight).over(Window.partitionBy()))
 
@@ -245,7 +264,7 @@ def shuffled(docs: DataFrame, cells: DataFrame, seed: int = 0) -> DataFrame:
 
 def cell_distribution(cell_grams: DataFrame, sums: DataFrame, global_stats: DataFrame, smoothing: Smoothing) -> DataFrame:
     """(gram, cell, prob): for each gram the cells that hold it, by their share of its probability."""
-    joined = cell_grams.join(sums, "cell").join(global_stats.select("gram", "g"), "gram")
+    joined = cell_grams.join(if_few(sums, sums), "cell").join(global_stats.select("gram", "g"), "gram")
     p = probability(F.col("cnt"), F.col("total"), F.col("u"), F.col("g"), F.col("big_u"), smoothing.interpolate)
     joined = joined.select("gram", "cell", p.alias("p"))
     whole = F.sum("p").over(Window.partitionBy("gram"))

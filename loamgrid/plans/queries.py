@@ -275,7 +275,7 @@ def word_cell_distribution(spark, sf_dir):
     corpus = Corpus(placed(table(spark, sf_dir, "documents"), "doc_id"))
     smoothing = Smoothing("dirichlet", 1000.0)
     sums = models.totals(corpus.cell_grams, ["cell"], smoothing)
-    return ranking.cell_distribution(corpus.cell_grams, sums, corpus.global_stats, smoothing).select("gram", "cell", *r6("prob"))
+    return ranking.cell_distribution(corpus.cell_grams, sums, corpus.global_stats(), smoothing).select("gram", "cell", *r6("prob"))
 
 
 @query()
@@ -296,11 +296,13 @@ SELECT doc, cell, round(score, 6) AS score, rank FROM r WHERE rank <= 10""")
 def hierarchical_ranking(spark, sf_dir):
     """Cells of 30, then 15 degrees by beam search."""
     coarse, fine = RegularGrid(30.0), RegularGrid(15.0)
-    docs, tests = placed(table(spark, sf_dir, "documents"), "doc_id"), items(spark, sf_dir)
+    docs, tests = placed(table(spark, sf_dir, "documents"), "doc_id"), item_grams(items(spark, sf_dir))
+    names = {"coarse": cell_name(coarse), "fine": cell_name(fine)}
+    both = written(models.gram_counts(docs.withColumns(names), list(names), words(F.col("text"))), "cell-grams")  # words are cut once
     levels = []
-    for grid in (coarse, fine):
-        corpus = Corpus(docs, grid=grid)
-        scored = ranking.scores(item_grams(tests), corpus.cell_grams, corpus.cells.select("cell", "n_docs", "salience"), corpus.global_stats, Smoothing("dirichlet", 1000.0))
+    for name, grid in (("coarse", coarse), ("fine", fine)):
+        grams = models.merged(both.select(F.col(name).alias("cell"), "gram", "cnt"), ["cell"])
+        scored = Corpus(docs, grid=grid, grams=grams).scores(tests, ["naive-bayes"], Smoothing("dirichlet", 1000.0))
         levels.append(scored.select("doc", "cell", F.col("naive_bayes").alias("score")))
     at = F.split("cell", ",")
     up = coarse.parent(at[0].cast("int"), at[1].cast("int"))

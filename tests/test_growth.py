@@ -1,8 +1,11 @@
 """What must not grow with the tables: plans, and columns that nobody asked for."""
 
 import duckdb
-
+import pytest
 from compare import difference
+from pyspark.sql import functions as F
+
+from loamgrid.operators import models, ranking
 from loamgrid.plans.queries import ORACLE_SQL, QUERIES
 
 
@@ -18,3 +21,19 @@ def test_kd_plan_does_not_grow_with_the_leaves(spark, tmp_path):
         con.execute(f"CREATE VIEW customer AS SELECT * FROM read_parquet('{folder}/customer.parquet/*.parquet')")
         assert difference(found, con, ORACLE_SQL["kd_cells"]) == ""
     assert sizes[1] < 1.5 * sizes[0]
+
+
+def test_scores_need_only_the_grams_of_the_documents(spark):
+    """Global probabilities of the test documents' words give all cells the scores that those of all words give."""
+    train = spark.createDataFrame([("c0", "a", 3.0), ("c0", "b", 1.0), ("c1", "b", 2.0), ("c1", "d", 2.0), ("c2", "e", 5.0)], "cell string, gram string, cnt double")
+    cells = spark.createDataFrame([("c0", 1, 1.0), ("c1", 1, 1.0), ("c2", 1, 1.0)], "cell string, n_docs long, salience double")
+    tests = spark.createDataFrame([(1, "a", 1.0), (1, "b", 2.0), (1, "z", 1.0)], "doc long, gram string, cnt double")
+    stats = models.global_counts(train).withColumn("g", F.col("cnt") / 13)
+    names = ["naive-bayes", "full-cosine-similarity", "average-cell-probability"]
+    got = [
+        {r.cell: tuple(r)[2:] for r in ranking.scores(tests, train, cells, s, models.Smoothing("dirichlet", 10.0), names).collect()}
+        for s in (stats, stats.filter("gram in ('a', 'b')"))
+    ]
+    assert set(got[0]) == set(got[1]) == {"c0", "c1", "c2"}
+    for cell, row in got[0].items():
+        assert got[1][cell] == pytest.approx(row)
