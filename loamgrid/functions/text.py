@@ -148,7 +148,12 @@ def decode_sequence(text: Column) -> Column:
 
 def encode_counts(counts: Column) -> Column:
     """`word:count` pairs of a map, the greatest count first, then by word; a null count is empty."""
-    pairs = F.transform(F.map_entries(counts), lambda e: F.struct((-e["value"]).alias("n"), e["key"].alias("w")))
+    return encode_pairs(F.map_entries(counts), "key", "value")
+
+
+def encode_pairs(entries: Column, word: str = "gram", number: str = "cnt") -> Column:
+    """`encode_counts` of an array of (word, number)."""
+    pairs = F.transform(entries, lambda e: F.struct((-e[number]).alias("n"), e[word].alias("w")))
     count = lambda p: F.coalesce((-p["n"]).cast("string"), F.lit(""))
     return F.array_join(F.transform(F.array_sort(pairs), lambda p: F.concat(encode_word(p["w"]), F.lit(":"), count(p))), " ")
 

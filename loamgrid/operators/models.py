@@ -5,12 +5,14 @@ Counts stay long and narrow; nothing keeps a whole vocabulary in one row.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 OOV = "-OOV-"
 
 
@@ -21,6 +23,47 @@ def gram_counts(docs: DataFrame, keys: Sequence[str], tokens: Column, weight: Co
     return rows.groupBy(*keys, "gram").agg(F.sum("_w").cast("double").alias("cnt"))
 
 
+#: Characters of the longest text whose words are counted inside its row.
+LONG_TEXT = 4_000_000
+
+
+def document_counts(docs: DataFrame, key: str, text: str, tokens: Callable[[Column], Column]) -> DataFrame:
+    """(key, pairs) of each document with a token: pairs is an array of (gram, cnt), of all rows with the key.
+
+    Tokens are sorted and counted inside the row, so they are not shuffled.
+    Rows that share a key, and keys with a text above LONG_TEXT, are counted by
+    an aggregate instead.
+    """
+    several = docs.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.max(F.length(text)).alias("_long"))
+    several = written(several.filter((F.col("_n") > 1) | (F.col("_long") > LONG_TEXT)).select(key), "several")
+    alone = docs.select(key, text).join(several, key, "left_anti").filter(F.col(key).isNotNull())
+    shared = docs.select(key, text).join(several, key, "left_semi").unionByName(docs.select(key, text).filter(F.col(key).isNull()))
+    starts = F.transform("_a", lambda x, i: F.when((i == 0) | (x != F.get("_a", i - 1)), i))
+    count = lambda p, k: F.coalesce(F.get("_s", k + 1), F.size("_a")) - p
+    pair = lambda p, k: F.struct(F.get("_a", p).alias("gram"), count(p, k).cast("double").alias("cnt"))
+    inside = alone.select(key, F.sort_array(tokens(F.col(text))).alias("_a"))
+    inside = inside.withColumn("_s", F.filter(starts, lambda i: i.isNotNull())).select(key, F.transform("_s", pair).alias("pairs"))
+    summed = gram_counts(shared, [key], tokens(F.col(text))).groupBy(key).agg(F.collect_list(F.struct("gram", "cnt")).alias("pairs"))
+    return written(inside.union(summed), "doc-counts").filter(F.size("pairs") > 0)
+
+
+#: Grams that a join broadcasts, those in most documents.
+FREQUENT = 50_000
+
+
+def join_by_gram(grams: DataFrame, stats: DataFrame) -> DataFrame:
+    """grams (gram, ..) with the columns of `stats` (gram, df, ..), inner.
+
+    The FREQUENT grams of greatest df are joined by a broadcast, so that most
+    rows stay where they are and no frequent gram meets in one task; the others
+    by what the planner takes.  Both frames are read twice and should be written.
+    """
+    top = written(stats.orderBy(F.col("df").desc(), "gram").limit(FREQUENT), "frequent")
+    names = F.broadcast(top.select("gram"))
+    rare = grams.join(names, "gram", "left_anti").join(stats.join(names, "gram", "left_anti"), "gram")
+    return grams.join(F.broadcast(top), "gram").unionByName(rare)
+
+
 def merged(grams: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Sum models: the counts of all rows with equal keys."""
     return grams.groupBy(*keys, "gram").agg(F.sum("cnt").alias("cnt"))
@@ -126,8 +169,12 @@ def global_probs(doc_grams: DataFrame, id_col: str = "doc_id", tf_idf: bool = Fa
 
 def scale_idf(grams: DataFrame, global_stats: DataFrame, n_docs: float) -> DataFrame:
     """Counts times ln(D / (df + 1)), or times 0.0001 where that is not positive."""
+    return scaled_by_df(grams.join(global_stats.select("gram", "df"), "gram", "left"), n_docs)
+
+
+def scaled_by_df(joined: DataFrame, n_docs: float) -> DataFrame:
+    """`scale_idf` of grams that have their `df`."""
     idf = F.ln(F.lit(float(n_docs)) / (F.coalesce("df", F.lit(0)) + 1))
-    joined = grams.join(global_stats.select("gram", "df"), "gram", "left")
     return joined.withColumn("cnt", F.col("cnt") * F.when(idf > 0, idf).otherwise(0.0001)).drop("df")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import wiki
 from ..functions.geo import in_box
-from ..functions.text import encode_counts, short_text_tokens, tag_ngrams, words
+from ..functions.text import encode_pairs, short_text_tokens, tag_ngrams, words
 from ..operators import evaluation, filters, grids, grouping, learning, models, ranking, rows, wordstats
 from ..operators.grids import RegularGrid
 from ..operators.models import Smoothing
@@ -48,7 +48,7 @@ def r6_sql(*names: str) -> str:
 @query(f"SELECT gram, CAST(sum(cnt) AS BIGINT) AS cnt, count(*) AS df FROM ({sql.grams('documents', 'doc_id')}) GROUP BY gram")
 def word_counts(spark, sf_dir):
     """Occurrences and document frequency of every word of `documents`."""
-    grams = models.gram_counts(table(spark, sf_dir, "documents"), ["doc_id"], words(F.col("text")))
+    grams = models.document_counts(table(spark, sf_dir, "documents"), "doc_id", "text", words).select("doc_id", F.inline("pairs"))
     return models.global_counts(grams).select("gram", F.col("cnt").cast("long").alias("cnt"), "df")
 
 
@@ -57,9 +57,9 @@ SELECT doc_id, string_agg(concat(gram, ':', CAST(cnt AS BIGINT)), ' ' ORDER BY c
 FROM ({sql.grams('documents', 'doc_id')}) GROUP BY doc_id""")
 def count_strings(spark, sf_dir):
     """Counts of each document in the table format, greatest first."""
-    grams = models.gram_counts(table(spark, sf_dir, "documents"), ["doc_id"], words(F.col("text")))
-    packed = grams.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("gram", F.col("cnt").cast("int")))).alias("m"))
-    return packed.select("doc_id", encode_counts(F.col("m")).alias("counts"))
+    counted = models.document_counts(table(spark, sf_dir, "documents"), "doc_id", "text", words)
+    pairs = F.transform("pairs", lambda p: F.struct(p["gram"].alias("gram"), p["cnt"].cast("int").alias("cnt")))
+    return counted.select("doc_id", encode_pairs(pairs).alias("counts"))
 
 
 @query(f"""
@@ -165,8 +165,9 @@ SELECT doc_id, round(sqrt(sum(x * x)), 6) AS norm, round(max(x), 6) AS most, cou
 def tfidf_norms(spark, sf_dir):
     """tf-idf weights of all documents: norm, greatest weight and types of each."""
     docs = table(spark, sf_dir, "documents")
-    grams = written(models.gram_counts(docs, ["doc_id"], words(F.col("text"))), "doc-grams")
-    scaled = models.scale_idf(grams, models.global_counts(grams), docs.count())
+    grams = models.document_counts(docs, "doc_id", "text", words).select("doc_id", F.inline("pairs"))
+    stats = written(models.global_counts(grams).select("gram", "df"), "words")
+    scaled = models.scaled_by_df(models.join_by_gram(grams, stats), docs.count())
     x = F.col("cnt")
     return scaled.groupBy("doc_id").agg(F.round(F.sqrt(F.sum(x * x)), 6).alias("norm"), F.round(F.max(x), 6).alias("most"), F.count(F.lit(1)).alias("n_types"))
 
@@ -656,7 +657,7 @@ SELECT place, concat(count(*), ' ', string_agg(concat(id, ':', CAST(cnt AS INT))
 def topic_model_lines(spark, sf_dir):
     """Word counts of all documents in the format of a dynamic topic model, slices by source."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.col("source").alias("slice"), "text")
-    grams = written(models.gram_counts(docs, ["doc"], words(F.col("text"))), "doc-grams")
+    grams = models.document_counts(docs, "doc", "text", words).select("doc", F.inline("pairs"))
     return sinks.topic_model_tables(grams, docs.select("doc", "slice"))["mult"]
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.grids import RegularGrid
+from .scratch import written
 from .textdb import Schema, write_small
 
 
@@ -103,16 +104,21 @@ def polygons(cells: DataFrame, grid: RegularGrid) -> DataFrame:
 def topic_model_tables(doc_grams: DataFrame, docs: DataFrame) -> dict[str, DataFrame]:
     """Tables of a dynamic topic model: vocab (word, id), slice (slice, n), doc (doc, place, slice), mult (place, line).
 
-    doc_grams: (doc, gram, cnt); docs: (doc, slice).  Documents go by slice, then
-    by id; word ids by the words' order.
+    doc_grams: (doc, gram, cnt), written; docs: (doc, slice).  Documents go by
+    slice, then by id; word ids by the words' order.  The lines are made by
+    document and take their place afterwards.
     """
+    from ..operators.models import join_by_gram
     from ..operators.rows import with_positions
 
-    vocab = with_positions(doc_grams.select("gram").distinct(), ["gram"]).select("gram", F.col("position").alias("id"))
+    words = written(doc_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")), "words")
+    words = written(with_positions(words, ["gram"]).select("gram", "df", F.col("position").alias("id")), "vocabulary")
+    vocab = words.select("gram", "id")
     placed = with_positions(docs.select("slice", "doc"), ["slice", "doc"]).withColumnRenamed("position", "place")
-    pairs = doc_grams.join(vocab, "gram").join(placed.select("doc", "place"), "doc")
+    pairs = join_by_gram(doc_grams, words)
     items = F.transform(F.array_sort(F.collect_list(F.struct("id", F.col("cnt").cast("int").alias("n")))), lambda p: F.concat_ws(":", p["id"].cast("string"), p["n"].cast("string")))
-    lines = pairs.groupBy("place").agg(items.alias("_i")).select("place", F.concat(F.size("_i").cast("string"), F.lit(" "), F.array_join("_i", " ")).alias("line"))
+    lines = pairs.groupBy("doc").agg(items.alias("_i")).select("doc", F.concat(F.size("_i").cast("string"), F.lit(" "), F.array_join("_i", " ")).alias("line"))
+    lines = lines.join(placed.select("doc", "place"), "doc").select("place", "line")
     slices = docs.groupBy("slice").agg(F.count(F.lit(1)).alias("n"))
     return {"vocab": vocab, "slice": slices, "doc": placed, "mult": lines}
 

@@ -37,3 +37,31 @@ def test_scores_need_only_the_grams_of_the_documents(spark):
     assert set(got[0]) == set(got[1]) == {"c0", "c1", "c2"}
     for cell, row in got[0].items():
         assert got[1][cell] == pytest.approx(row)
+
+
+def odd_documents(spark, tmp_path, missing):
+    """A folder whose documents have repeated and perhaps missing ids, no words, and one long text."""
+    texts = [(1, "a", "b a b"), (1, "b", "b c"), (2, "a", "  "), (3, "a", None), (None, "b", "x x"), (None, "b", "x y"), (4, "b", "d " * 300 + "a"), (5, "a", "Ünï c C")]
+    df = spark.createDataFrame([t for t in texts if missing or t[0]], "doc_id long, source string, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    return str(tmp_path), con
+
+
+@pytest.mark.parametrize("name", ["count_strings", "tfidf_norms", "topic_model_lines", "word_counts"])
+@pytest.mark.parametrize("most", [0, 2])
+def test_words_of_odd_documents(spark, tmp_path, monkeypatch, name, most):
+    """Rows counted alone and together, grams joined by broadcast and by shuffle: the rows of the SQL.
+
+    Places of a topic model are numbered with nulls first, in the SQL with nulls last, so there ids are not missing.
+    """
+    folder, con = odd_documents(spark, tmp_path, name != "topic_model_lines")
+    monkeypatch.setattr(models, "LONG_TEXT", 100)
+    monkeypatch.setattr(models, "FREQUENT", most)
+    assert difference(QUERIES[name](spark, folder), con, ORACLE_SQL[name]) == ""
+
+
+def test_words_of_a_document_are_not_shuffled(spark, sf_dir):
+    """Tokens of documents are counted in their rows: what is left of the plan has no exchange."""
+    assert "Exchange" not in QUERIES["count_strings"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
